@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    # what the step has shuffled is of no more use: dropped as soon as the driver has collected its garbage
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,3 +59,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialised(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column computed once a row: Generate keeps the optimizer from copying ``value`` into its uses."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (with _ for .) that hold for the actions inside."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of so many rows, so that long texts stay within a worker's memory."""
+    return settings(spark, **{"spark_sql_execution_arrow_maxRecordsPerBatch": str(rows)})
