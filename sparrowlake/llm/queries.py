@@ -11,10 +11,15 @@ from sparrowlake.llm import oracles
 from sparrowlake.llm.common import table
 from sparrowlake.llm.decontaminate import decontaminate
 from sparrowlake.llm.exact_dedup import exact_dedup
+from sparrowlake.llm.labelled import held_out
 from sparrowlake.llm.line_dedup import dedup_lines
 from sparrowlake.llm.mixing import mix
 from sparrowlake.llm.near_dedup import near_dedup
+from sparrowlake.llm.quality import score_quality, train_quality
 from sparrowlake.llm.substring_dedup import substring_dedup
+from sparrowlake.llm.token_counts import token_counts
+from sparrowlake.llm.toxicity import score_toxicity, train_toxicity
+from sparrowlake.llm.url_filter import filter_urls
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +43,30 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "flagged")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
