@@ -1 +1 @@
-
+"""Operators that Spark lacks: partition transforms, predicates for pruning, star-join bounds."""

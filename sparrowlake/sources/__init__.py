@@ -1 +1 @@
-
+"""Catalogs, snapshot tables and their files."""
