@@ -19,12 +19,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowlake.llm.common import forget, fresh_path
+from sparrowlake.llm.common import forget, fresh_path, written
 
 #: Members of a group that are compared with one copy of the kept text.
 ROWS_PER_SALT = 1000
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
@@ -91,7 +93,7 @@ def exact_dedup(
         "at", "digest", F.coalesce("keep", "at").alias("keep"), F.coalesce("n", F.lit(1)).alias("n")
     )
 
-    members = rows.join(hits, "digest").withColumn("salts", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int"))
+    members = written(rows.join(hits, "digest"), "exact-members").withColumn("salts", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int"))
     kept = members.where(F.col("at") == F.col("keep")).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = members.where(F.col("at") != F.col("keep")).withColumn("salt", F.pmod(F.hash("at"), "salts"))
     differing = others.join(kept, ["digest", "salt"]).where(F.col("body") != F.col("kept_body")).select("digest").distinct()
