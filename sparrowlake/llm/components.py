@@ -30,13 +30,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one root, and no root to anything."""
+    if not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) for each node of the edges (u, v); component is the least node reachable."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), tag)
-    seen = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen or not mark.n:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
-        seen = mark
+    while not _settled(now):
         now = written(_small_star(_large_star(now)), tag)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -9,9 +9,9 @@ least members are then joined:
   sketches of ``SKETCH`` minwise tokens. Independent trees are repeated to the target recall: a pair of
   similarity s is missed by all roots with probability (1 - s) ** trees.
 * A node puts forward a spanning forest of the pairs whose sketches agree well enough (4.5 standard deviations
-  below the threshold), never all pairs. Put-forward pairs are confirmed on full sets; rejected ones make room
-  for the next pairs between parts that are not connected yet, with a budget that grows fourfold a round, until
-  no node has a pair left to propose.
+  below the threshold), never all pairs. Put-forward pairs are confirmed on full sets; where some were rejected,
+  the next pairs between parts that are not connected yet follow, a number for each document and part that grows
+  eightfold a round, until no node has a pair left to propose.
 * Members of a node that branches are also compared with its least member. A node that is still too large at
   ``max_depth`` holds texts alike in many tokens; it is cut into blocks that are compared in themselves.
 
@@ -108,27 +108,23 @@ def _forest(ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, comp: np.ndarr
     order = np.argsort(ids, kind="stable")
     ids, n, sketches = ids[order], n[order], sketches[order]
     _, label = np.unique(comp[order], return_inverse=True)
-    known = label.copy()
     tried = [set(rejected[i]) if rejected[i] is not None else () for i in order]
     out: list[tuple[int, int]] = []
     for x in range(1, len(ids)):
         near = np.flatnonzero((label[:x] != label[x]) & (np.minimum(n[:x], n[x]) >= ratio * np.maximum(n[:x], n[x])))
         if not len(near):
             continue
-        agree = (sketches[near] == sketches[x]).sum(axis=1) >= least * SKETCH
-        near = near[agree]
+        near = near[(sketches[near] == sketches[x]).sum(axis=1) >= least * SKETCH]
         if tried[x]:
             near = np.array([p for p in near if int(ids[p]) not in tried[x]], dtype=int)
-        if not len(near):
-            continue
-        for part in np.unique(known[near]):
-            if part == known[x]:
-                continue
-            own = near[known[near] == part]
-            if budget == 1 and label[own[0]] == label[x]:
-                continue  # another proposed pair would join them
-            out += [(int(ids[x]), int(ids[p])) for p in own[:budget]]
-            label[label == label[own[0]]] = label[x]
+        for part in np.unique(label[near]):
+            own = near[label[near] == part]
+            if budget > 1:
+                out += [(int(ids[x]), int(ids[p])) for p in own[:budget]]
+            elif part != label[x]:
+                # a forest: what proposed pairs would join already needs no other pair yet
+                out.append((int(ids[x]), int(ids[own[0]])))
+                label[label == part] = label[x]
     return out
 
 
@@ -266,7 +262,7 @@ def near_dedup(
         yes, no = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
         confirmed = yes if confirmed is None else confirmed.union(yes)
         rejected = no if rejected is None else rejected.union(no)
-        budget *= 4
+        budget *= 8
     if confirmed is not None:
         links = links.union(confirmed)
     comps = connected_components(links, "near-components")
