@@ -1,27 +1,82 @@
-"""The pipeline's stages on the smallest driver table, each against what its operator says."""
+"""The pipeline against a version in plain Python, on the smallest driver table."""
 
+import math
 import os
+import re
+import zlib
 
+import numpy as np
 import pytest
+from test_operators import brute_leaks, brute_lines, brute_near
 
 SF = "/root/testdata/sf0.001"
 
 
+def statistics(text):
+    """What the classifier sees, computed on its own."""
+    t = text or ""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]
+    n, chars = max(len(words), 1), max(len(t), 1)
+    of = lambda some: sum(t.count(c) for c in set(some))
+    echoes = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return [
+        len(words), len(t) / n, of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, of("#$%&*@^~<>{}[]\\/_=+") / chars, of("0123456789") / chars, of("|") / n, of("!?") / n, of(".,;:") / n, of("\n") / n, echoes / n, len(set(words)) / math.sqrt(n),
+    ]
+
+
+def brute_scores(texts, model):
+    out = {}
+    for i, t in texts:
+        x = statistics(t)
+        z = model.bias + sum(r.weight for r in model.rules if all((x[k] > cut) if above else (x[k] <= cut) for k, above, cut in r.parts))
+        out[i] = 1 / (1 + math.exp(-z))
+    return out
+
+
+def copies(i, rate):
+    import hashlib
+
+    total = 0
+    m = math.ceil(rate / 64)
+    for j in range(1, m + 1):
+        u = int(hashlib.md5(f"7|{i}|{j}".encode()).hexdigest()[:13], 16) / 2**52
+        p = cdf = math.exp(-rate / m)
+        k = 0
+        while u >= cdf:
+            k += 1
+            p *= rate / m / k
+            cdf += p
+        total += k
+    return total
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-def test_stages(spark):
+def test_run_equals_brute_force(spark):
     import corpus_pipeline as P
-    from sparrowlake.llm.common import written
+    from sparrowlake.llm.quality import STATISTICS, fit_rules
 
-    assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    counts = [docs.count()]
-    for name, stage in P.STAGES:
-        after = written(stage(spark, docs, SF), f"test-{name}")
-        if name != "mixing":
-            assert after.columns == docs.columns
-            assert after.select("doc_id").distinct().count() == after.count()
-            assert after.join(docs, "doc_id", "left_anti").isEmpty()
-        counts.append(after.count())
-        docs = after
-    assert all(b <= a for a, b in zip(counts[:4], counts[1:5], strict=True)) and counts[4] > 50
-    assert {r.doc_id for r in P.run(spark, SF).select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    learned = sorted(i for i in labels if i in rows and zlib.crc32(str(i).encode()) % 3 != 1)
+    model = fit_rules(np.array([statistics(rows[i].text) for i in learned]), np.array([float(labels[i]) for i in learned]))
+    assert len(STATISTICS) == len(statistics(""))
+
+    scores = brute_scores([(i, r.text) for i, r in rows.items()], model)
+    texts = {i: rows[i].text for i in rows if scores[i] >= 0.5}
+    after = brute_lines(list(texts.items()))
+    texts = {i: t for i, t in after.items() if t or not (texts[i] or "").strip(" ")}
+    near = brute_near(sorted(texts.items()))
+    texts = {i: t for i, t in texts.items() if near[i][2]}
+    leaks = brute_leaks(list(texts.items()), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    texts = {i: t for i, t in texts.items() if not leaks[i][1]}
+    by_source = {}
+    for i in texts:
+        by_source[rows[i].source] = by_source.get(rows[i].source, 0) + 1
+    whole = sum(math.sqrt(n) for n in by_source.values())
+    want = sorted((i, t, c) for i, t in texts.items() for c in range(1, 1 + copies(i, math.sqrt(by_source[rows[i].source]) / whole * len(texts) / by_source[rows[i].source])))
+
+    assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    got = sorted((r.doc_id, r.text, r.copy_no) for r in P.run(spark, SF).collect())
+    assert got == want and len(got) > 50
+    assert set(P.run(spark, SF).columns) == {*docs.columns, "copy_no"}
