@@ -157,6 +157,21 @@ def sql_insert_and_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT region, count(*) AS n FROM customers GROUP BY region")
 
 
+@query(
+    """SELECT n_nationkey, CAST(strpos(n_name, 'A') AS INT) AS p, starts_with(n_name, 'A') AS s, CAST(len([1, n_nationkey]) AS INT) AS n, [n_regionkey, 7][2] AS e, array_to_string([1, 2, n_nationkey], '-') AS j,
+sha256(n_name) AS h, array_to_string([1, 2, 3, n_nationkey][2:3], ',') AS sl FROM nation"""
+)
+def fn_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_warehouse(spark, scratch(spark, "warehouse").removeprefix("file://"), "demo")
+    engine.create_namespace("demo")
+    engine.create_table("nation", source(spark, sf_dir, "nation").schema)
+    engine.insert("nation", source(spark, sf_dir, "nation"))
+    return engine.sql(
+        """SELECT n_nationkey, strpos(n_name, 'A') AS p, starts_with(n_name, 'A') AS s, array_length(make_array(1, n_nationkey)) AS n, array_element(make_array(n_regionkey, 7), 2) AS e,
+array_to_string(make_array(1, 2, n_nationkey), '-') AS j, sha256(n_name) AS h, array_to_string(array_slice(make_array(1, 2, 3, n_nationkey), 2, 3), ',') AS sl FROM demo.nation"""
+    )
+
+
 @query()
 def meta_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(spark, orders(spark, sf_dir), "orders").snapshots()

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from sparrowlake import sqlprep
 from sparrowlake.config import Config, ConfigError, load
+from sparrowlake.functions.dialect import translate
 from sparrowlake.sources.catalog import Catalog, CatalogError, MemoryCatalog, RestCatalog, WarehouseCatalog, match_name
 from sparrowlake.sources.table import SnapshotTable, TableError
 
@@ -178,7 +179,7 @@ class Engine:
 
     def _register(self, sql: str) -> str:
         """Make views of the tables that the statement names, at their current snapshots; the statement with names Spark finds."""
-        sql = sqlprep.quote_metadata_tables(sql)
+        sql = sqlprep.quote_metadata_tables(translate(sql))
         pieces = sqlprep.outside_quotes(sql)
         words = {w.lower() for quoted, x in pieces if not quoted or x[:1] == "`" for w in re.findall(r"[\w$]+", x)}
         if "information_schema" in words:

@@ -186,3 +186,16 @@ def test_metadata_parser():
 def test_values_round_trip():
     for v in (1, "a", None, True, 1.5, dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5, 6), Decimal("1.20"), b"\x00\xff"):
         assert value_from_json(value_to_json(v)) == v
+
+
+@pytest.mark.parametrize(
+    "sql,expected",
+    [
+        ("SELECT strpos(a, 'strpos(') FROM t", "SELECT instr(a, 'strpos(') FROM t"), ("SELECT array_length(make_array(1, 2))", "SELECT size(array(1, 2))"), ("SELECT sha256(concat(a, ',(')) x", "SELECT sha2(concat(a, ',('), 256) x"),
+        ("SELECT array_slice(f(a, b), 2, g(3))", "SELECT slice(f(a, b), 2, g(3) - 2 + 1)"), ("SELECT my_strpos(a), t.unnest FROM t", "SELECT my_strpos(a), t.unnest FROM t"), ("SELECT sha256(a", "SELECT sha256(a"), ("-- unnest(\nSELECT 1", "-- unnest(\nSELECT 1"),
+    ],
+)
+def test_dialect(sql, expected):
+    from sparrowlake.functions.dialect import translate
+
+    assert translate(sql) == expected
