@@ -62,3 +62,26 @@ draws AS (
 ), totals AS (SELECT doc_id, source, text, sum(c) AS copies FROM drawn GROUP BY ALL)
 SELECT doc_id, source, unnest(range(1, copies::BIGINT + 1))::INT AS copy_no, sha256(text) AS text_sha256 FROM totals
 """
+
+_URL = """SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM {})"""
+_RULE = """CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
+
+OP9_URL_FILTER = rf"""
+WITH RECURSIVE tags AS (
+  SELECT url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM pages
+  UNION ALL
+  SELECT url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages
+), links AS (
+  SELECT url AS a, target AS b FROM tags WHERE contains(url, '://') AND contains(target, '://')
+  UNION SELECT target, url FROM tags WHERE contains(url, '://') AND contains(target, '://')
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+tainted AS (SELECT DISTINCT a FROM reach JOIN ({_URL.format("(SELECT DISTINCT b AS url FROM reach)")}) t ON t.url = reach.b WHERE {_RULE} IN ('net/', 'example.com/de/')),
+judged AS (SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path, {_RULE} AS rule FROM ({_URL.format("pages")}))
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN url IN (SELECT a FROM tainted) THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
