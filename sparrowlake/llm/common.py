@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,16 +29,21 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, tag)
+    path = path or fresh_path(spark, tag)
+    release(spark)
     df.write.parquet(path)
-    # what the step has shuffled is of no more use: dropped as soon as the driver has collected its garbage
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps have shuffled: Spark deletes it once the driver has collected its handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours through Hadoop's file system API, so that any store works."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlake.llm import textnp
-from sparrowlake.llm.common import row_key, small_batches, written
+from sparrowlake.llm.common import release, row_key, small_batches, written
 from sparrowlake.llm.fm_index import FMIndex
 
 SIZE, GRAM, RUN, HOT, INDEX_WORDS = 20, 6, 64, 4096, 150_000  # RUN: more than the windows that can share a minimizer's place
@@ -215,6 +215,18 @@ def _kept(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("own_id", "text", "hits", "firsts").mapInArrow(run, "id long, n_words long, n_removed long, text string, spans array<struct<from: long, to: long>>")
 
 
+def _repeated(rows: DataFrame, size: int, hot: int) -> DataFrame:
+    """key, hits: each document's runs whose minimizers are not unique."""
+    runs = _runs(rows, size)
+    counts = runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    return runs.join(counts, "v").groupBy("key").agg(F.collect_set(F.struct("v", "pos", (F.col("c") > hot).alias("hot"))).alias("hits"))
+
+
+def _classes(segments: DataFrame) -> DataFrame:
+    """Segments that are equal in all bytes as one, at their first place."""
+    return segments.groupBy("v", "seg").agg(F.min(F.struct("id", "key", "start")).alias("first")).select("v", "seg", "first.*")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, hot: int = HOT, index_words: int = INDEX_WORDS) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_removed, the text that is kept and the spans of words that go."""
     spark = docs.sparkSession
@@ -223,13 +235,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.col(id_col).cast("long")
     rows = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(LAST)).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     with small_batches(spark):
-        runs = _runs(rows, size)
-        counts = runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-        hits = runs.join(counts, "v").groupBy("key").agg(F.collect_set(F.struct("v", "pos", (F.col("c") > hot).alias("hot"))).alias("hits"))
-        hits = written(hits, "substring-hits")
+        hits = written(_repeated(rows, size, hot), "substring-hits")
         segments = written(_segments(rows.join(hits, "key"), size), "substring-segments")
-        classes = segments.groupBy("v", "seg").agg(F.min(F.struct("id", "key", "start")).alias("first")).select("v", "seg", "first.*")
-    firsts = written(_firsts(classes, size, index_words), "substring-firsts")
+        firsts = written(_firsts(_classes(segments), size, index_words), "substring-firsts")
+    release(spark)
     firsts = firsts.where("mask != 0").groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("firsts"))
     out = _kept(rows.join(hits, "key", "left").join(firsts, "key", "left"), size)
     return out.withColumnRenamed("id", id_col)
