@@ -20,7 +20,7 @@ def _rewired(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _rewired(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _rewired(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _settled(edges: DataFrame) -> bool:
-    """Whether every node points to one root, and no root to anything."""
-    if not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
-        return False
-    return edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    """Whether every node points to one root, and no root to anything: one pass over the edges' ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:

@@ -9,9 +9,9 @@ least members are then joined:
   sketches of ``SKETCH`` minwise tokens. Independent trees are repeated to the target recall: a pair of
   similarity s is missed by all roots with probability (1 - s) ** trees.
 * A node puts forward a spanning forest of the pairs whose sketches agree well enough (4.5 standard deviations
-  below the threshold), never all pairs. Put-forward pairs are confirmed on full sets; where some were rejected,
-  the next pairs between parts that are not connected yet follow, a number for each document and part that grows
-  eightfold a round, until no node has a pair left to propose.
+  below the threshold), never all pairs. Put-forward pairs are confirmed on full sets. Where some were rejected, a
+  node's members that sketches still allow to be linked across components come together once more with their
+  texts, and every such pair is decided on full sets inside the node; only links that join two parts come out.
 * Members of a node that branches are also compared with its least member. A node that is still too large at
   ``max_depth`` holds texts alike in many tokens; it is cut into blocks that are compared in themselves.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,28 +103,53 @@ def _nodes(reps: DataFrame, node_limit: int, max_depth: int) -> tuple[DataFrame,
     return out, first
 
 
-def _forest(ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, comp: np.ndarray, rejected: list, least: float, ratio: float, budget: int) -> list[tuple[int, int]]:
-    """Pairs (larger id, smaller id) that would join unconnected members whose sketches agree in ``least`` or more."""
-    order = np.argsort(ids, kind="stable")
-    ids, n, sketches = ids[order], n[order], sketches[order]
-    _, label = np.unique(comp[order], return_inverse=True)
-    tried = [set(rejected[i]) if rejected[i] is not None else () for i in order]
+def _undecided(n: np.ndarray, sketches: np.ndarray, x: int, least: float, ratio: float) -> np.ndarray:
+    """Members before x whose size and sketch allow a link with it."""
+    near = np.flatnonzero(np.minimum(n[:x], n[x]) >= ratio * np.maximum(n[:x], n[x]))
+    return near[(sketches[near] == sketches[x]).sum(axis=1) >= least * SKETCH]
+
+
+def _forest(ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, least: float, ratio: float) -> list[tuple[int, int]]:
+    """Pairs (larger id, smaller id) that would join all members which sketches allow to be joined; ids ascend."""
+    label = np.arange(len(ids))
     out: list[tuple[int, int]] = []
     for x in range(1, len(ids)):
-        near = np.flatnonzero((label[:x] != label[x]) & (np.minimum(n[:x], n[x]) >= ratio * np.maximum(n[:x], n[x])))
-        if not len(near):
-            continue
-        near = near[(sketches[near] == sketches[x]).sum(axis=1) >= least * SKETCH]
-        if tried[x]:
-            near = np.array([p for p in near if int(ids[p]) not in tried[x]], dtype=int)
-        for part in np.unique(label[near]):
-            own = near[label[near] == part]
-            if budget > 1:
-                out += [(int(ids[x]), int(ids[p])) for p in own[:budget]]
-            elif part != label[x]:
-                # a forest: what proposed pairs would join already needs no other pair yet
-                out.append((int(ids[x]), int(ids[own[0]])))
-                label[label == part] = label[x]
+        near = _undecided(n, sketches, x, least, ratio)
+        parts, first = np.unique(label[near], return_index=True)
+        for part, p in zip(parts, near[first], strict=True):
+            out.append((int(ids[x]), int(ids[p])))
+            label[label == part] = label[x]
+    return out
+
+
+def _apart(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray, least: float, ratio: float) -> np.ndarray:
+    """Members that sketches allow to be linked with a member of another component."""
+    out = np.zeros(len(n), dtype=bool)
+    for x in range(1, len(n)):
+        near = _undecided(n, sketches, x, least, ratio)
+        near = near[comp[near] != comp[x]]
+        if len(near):
+            out[near] = out[x] = True
+    return out
+
+
+def _exact(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, decided on their full sets; each link joins two parts."""
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    _, label = np.unique(comp, return_inverse=True)
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+    out: list[tuple[int, int]] = []
+    for x in range(1, len(ids)):
+        own = flat[begin[x] : begin[x] + sizes[x]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat[: begin[x]]], begin[:x])
+        mark[own] = 0
+        for p in np.flatnonzero((100 * both >= percent * (sizes[:x] + sizes[x] - both)) & (label[:x] != label[x])):
+            if label[p] != label[x]:
+                out.append((int(max(ids[x], ids[p])), int(min(ids[x], ids[p]))))
+                label[label == label[p]] = label[x]
     return out
 
 
@@ -143,37 +168,69 @@ def _agreeing(heads: DataFrame, sketched: DataFrame, least: float, ratio: float)
     return sized.select("id", "head", "sketch", "head_sketch").mapInArrow(run, "a long, b long")
 
 
-def _propose(members: DataFrame, node_limit: int, least: float, ratio: float, budget: int) -> DataFrame:
-    """Pairs (a, b), a > b, from the members (node, id, n, sketch, comp, rejected) of each leaf."""
+def _by_node(members: DataFrame, solve: Callable[[pa.Table], list[tuple]], schema: str) -> DataFrame:
+    """``solve`` on the rows of each node, sorted by id; rows of one node are in one task, which holds one node at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(t: pa.Table) -> pa.RecordBatch:
+        def solved(tables: list[pa.Table]) -> pa.RecordBatch:
+            t = pa.concat_tables(tables).combine_chunks()
             node = t.column("node").to_numpy()
-            ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
-            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-            rejected = t.column("rejected").to_pylist()
-            cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.zeros(1, int)
-            out: list[tuple[int, int]] = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    out += _forest(ids[a:b], n[a:b], sketches[a:b], comp[a:b], rejected[a:b], least, ratio, budget)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-
-        held: pa.Table | None = None  # rows come sorted by node: the last node of a batch may go on in the next
+            cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+            out = [row for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for row in solve(t.slice(a, b - a))]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
+
+        held: list[pa.Table] = []  # a batch's last node may go on in the next
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
             node = t.column("node").to_numpy()
-            if not len(node):
-                continue
+            if held and node[0] != held[-1].column("node")[-1].as_py():
+                yield solved(held)
+                held = []
             cut = int(np.flatnonzero(np.r_[True, node[1:] != node[:-1]])[-1])
-            held = t.slice(cut)
             if cut:
-                yield pairs(t.slice(0, cut))
-        if held is not None:
-            yield pairs(held)
+                yield solved([*held, t.slice(0, cut)])
+                held = []
+            held.append(t.slice(cut))
+        if held:
+            yield solved(held)
+
+    return members.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, schema)
+
+
+def _sketches(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+
 
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+def _propose(members: DataFrame, least: float, ratio: float) -> DataFrame:
+    """Pairs (a, b), a > b, from the members (node, id, n, sketch) of each leaf."""
+    return _by_node(members, lambda t: _forest(t.column("id").to_numpy(), t.column("n").to_numpy(), _sketches(t), least, ratio), "a long, b long")
+
+
+def _hard(members: DataFrame, least: float, ratio: float) -> DataFrame:
+    """(node, id, comp) of members (with comp) that may be linked across components."""
+
+    def solve(t: pa.Table) -> list[tuple]:
+        node, ids, comp = (t.column(c).to_numpy() for c in ("node", "id", "comp"))
+        if (comp == comp[0]).all():
+            return []
+        found = np.flatnonzero(_apart(t.column("n").to_numpy(), _sketches(t), comp, least, ratio))
+        return [(int(node[i]), int(ids[i]), int(comp[i])) for i in found]
+
+    return _by_node(members, solve, "node long, id long, comp long")
+
+
+def _decide(hard: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among hard members, on their full sets."""
+
+    def solve(t: pa.Table) -> list[tuple]:
+        seps, fold = textnp.separators(), textnp.lower_ascii()
+        sets = [s for chunk in t.column("text").chunks for block in textnp.blocks(chunk, seps, fold) for s in textnp.shingle_sets(block, shingle)]
+        return _exact(t.column("id").to_numpy(), t.column("comp").to_numpy(), sets, percent)
+
+    return _by_node(hard.join(texts, "id").select("node", "id", "comp", "text"), solve, "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -228,44 +285,28 @@ def near_dedup(
     s = percent / 100
     least = s - 4.5 * math.sqrt(s * (1 - s) / SKETCH)
     leaves, heads = _nodes(reps, node_limit, max_depth)
-    leaves = written(leaves.distinct(), "near-leaves")
-    sketched = reps.select("id", "n", "sketch")
-    texts = None
-    # members of a class are linked from the start
-    links = full.join(classes, ["digest", "n"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
-    confirmed = rejected = None
-    budget = 1
-    while True:
-        members = leaves.join(sketched, "id")
-        if confirmed is None:
-            members = members.select("node", "id", "n", "sketch", F.col("id").alias("comp"), F.lit(None).cast("array<long>").alias("rejected"))
-        else:
-            comps = connected_components(confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-parts")
-            turned = rejected.groupBy("a").agg(F.collect_set("b").alias("rejected"))
-            members = members.join(comps.withColumnRenamed("node", "id"), "id", "left").join(turned.withColumnRenamed("a", "id"), "id", "left")
-            members = members.select("node", "id", "n", "sketch", F.coalesce("component", "id").alias("comp"), "rejected")
-        pairs = _propose(members, node_limit, least, s, budget)
-        if confirmed is None and heads is not None:
-            pairs = pairs.union(_agreeing(heads, sketched, least, s)).distinct()
-        elif rejected is not None:
-            pairs = pairs.join(rejected, ["a", "b"], "left_anti")
+    members = written(leaves.join(reps.select("id", "n", "sketch"), "id").select("node", "id", "n", "sketch"), "near-members")
+    pairs = _propose(members, least, s)
+    if heads is not None:
+        pairs = pairs.union(_agreeing(heads, reps.select("id", "n", "sketch"), least, s))
+    with small_batches(spark, 5000):
+        pairs = written(pairs.distinct(), "near-pairs")
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = written(rows.join(met, "id").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
+    with small_batches(spark, 256):
+        checked = written(_confirm(pairs, texts, shingle, percent), "near-checked")
+    confirmed = checked.where("ok").select("a", "b")
+    if not checked.where("not ok").isEmpty():  # else the forests hold, and nothing that sketches allow is apart
+        comps = connected_components(confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-parts")
+        parted = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
         with small_batches(spark, 5000):
-            pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            texts = written(rows.join(met, "id").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
+            hard = written(_hard(parted.select("node", "id", "n", "sketch", "comp"), least, s), "near-hard")
         with small_batches(spark, 256):
-            checked = written(_confirm(pairs, texts, shingle, percent), "near-checked")
-        yes, no = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
-        confirmed = yes if confirmed is None else confirmed.union(yes)
-        rejected = no if rejected is None else rejected.union(no)
-        budget *= 8
-    if confirmed is not None:
-        links = links.union(confirmed)
-    comps = connected_components(links, "near-components")
+            confirmed = confirmed.union(written(_decide(hard, texts, shingle, percent), "near-decided"))
+    # members of a class are linked from the start
+    links = full.join(classes, ["digest", "n"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
+    comps = connected_components(links.union(confirmed), "near-components")
     out = base.join(comps.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
