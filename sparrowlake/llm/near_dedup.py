@@ -293,7 +293,8 @@ def near_dedup(
         pairs = written(pairs.distinct(), "near-pairs")
     met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = written(rows.join(met, "id").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
+    # a shuffle at every size: the ids that met grow with the input
+    texts = written(rows.join(met.hint("merge"), "id").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
     with small_batches(spark, 256):
         checked = written(_confirm(pairs, texts, shingle, percent), "near-checked")
     confirmed = checked.where("ok").select("a", "b")
