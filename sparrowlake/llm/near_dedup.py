@@ -12,8 +12,10 @@ least members are then joined:
   below the threshold), never all pairs. Put-forward pairs are confirmed on full sets. Where some were rejected, a
   node's members that sketches still allow to be linked across components come together once more with their
   texts, and every such pair is decided on full sets inside the node; only links that join two parts come out.
-* Members of a node that branches are also compared with its least member. A node that is still too large at
-  ``max_depth`` holds texts alike in many tokens; it is cut into blocks that are compared in themselves.
+* Members of a node over ``node_limit`` are also compared with its least member. Where one child keeps more than half
+  of such a node, or at ``max_depth``, the node holds texts alike in many tokens and does not branch: blocks of it,
+  dealt anew in each node, put links forward first; then its members are tiled, so that every pair of members which
+  these links left in different components meets in a tile and is decided there as above.
 
 Components are found by distributed star contraction; no links, fingerprints or components reach the driver.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +75,10 @@ def _base(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int)
     return rows.mapInArrow(run, "id long, n long, digest binary, sketch binary, tokens array<long>")
 
 
-def _nodes(reps: DataFrame, node_limit: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """Leaves (node, id) of all trees, and the least member (node, id) of nodes that branched or were cut."""
+def _nodes(reps: DataFrame, node_limit: int, max_depth: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Of all trees: leaves (node, id), the least member (node, id, head) of nodes over the limit, and those of them that do not get smaller (node, id, c)."""
     level = reps.select("id", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
-    leaves, heads, depth = [], [], 0
+    leaves, heads, large, depth = [], [], [], 0
     while True:
         sizes = level.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("head")).where("c > 1")
         here = written(level.join(sizes, "node"), "near-level")
@@ -84,23 +87,52 @@ def _nodes(reps: DataFrame, node_limit: int, max_depth: int) -> tuple[DataFrame,
         if big.isEmpty():
             break
         heads.append(big.select("node", "id", "head"))
-        sketched = big.join(reps.select("id", "sketch"), "id")
         if depth == max_depth:
-            cut = sketched.select("node", "id", F.xxhash64("node", F.substring("sketch", 1, 2), F.pmod(F.hash("id"), F.ceil(F.col("c") / node_limit))).alias("block"))
-            sizes = cut.groupBy("block").agg(F.count("*").alias("c"))
-            # a block of equal tokens may still be over the limit: dealt by id, as its members are alike
-            leaves.append(cut.join(sizes, "block").select(F.xxhash64("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / node_limit))).alias("node"), "id"))
+            large.append(big.select("node", "id", "c"))
             break
         places = F.array(*[F.lit(b) for b in range(BRANCHES)])
         token = F.expr(f"substring(sketch, cast(pmod(xxhash64(node, b), {SKETCH}) as int) + 1, 1)")  # the node chooses which
-        level = sketched.select("node", "id", "sketch", F.explode(places).alias("b")).select(F.xxhash64("node", "b", token).alias("node"), "id")
+        sketched = big.join(reps.select("id", "sketch"), "id").select("node", "c", "id", "sketch", F.explode(places).alias("b"))
+        children = written(sketched.select(F.col("node").alias("parent"), "c", F.xxhash64("node", "b", token).alias("node"), "id"), "near-children")
+        whole = children.groupBy("parent", "c", "node").agg(F.count("*").alias("kept")).where("2 * kept > c").select("parent").distinct()
+        large.append(big.join(whole.withColumnRenamed("parent", "node"), "node", "left_semi").select("node", "id", "c"))
+        level = children.join(whole, "parent", "left_anti").select("node", "id")
         depth += 1
-    out, first = leaves[0], None
-    for x in leaves[1:]:
-        out = out.union(x)
-    for x in heads:
-        first = x if first is None else first.union(x)
-    return out, first
+    return _union(leaves), _union(heads), _union(large)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.union, parts) if parts else None
+
+
+def _blocks(large: DataFrame, node_limit: int) -> DataFrame:
+    """(node, id) of blocks within nodes that do not get smaller; the node deals, so that other nodes make other blocks."""
+    return large.select(F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("c") / node_limit))).alias("node"), "id")
+
+
+def _tiles(large: DataFrame, node_limit: int) -> DataFrame:
+    """(node, id, comp, side) of tiles in which all pairs of a node's members (with comp) from different components meet.
+
+    The node's largest component is dealt into blocks, and the rest of the members into others. Tiles are the pairs
+    of a block of either kind, or of two blocks of the rest. Members of one side (0 or 1) need no comparison; side
+    2 is compared in itself.
+    """
+    counts = large.groupBy("node", "comp").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("c")).where("c > most.k")
+    blocks = sizes.select("node", F.col("most.comp").alias("main"), F.ceil(F.col("most.k") / node_limit).alias("own"), F.ceil((F.col("c") - F.col("most.k")) / node_limit).alias("rest"))
+    rows = large.join(blocks, "node").withColumn("h", F.xxhash64("id", "node"))
+    x, y = F.col("x"), F.col("y")
+    main = rows.where("comp = main").withColumn("x", F.pmod("h", "own")).withColumn("y", F.explode(F.expr("sequence(0L, rest - 1)")))
+    rest = rows.where("comp != main").withColumn("y", F.pmod("h", "rest"))
+    met = rest.withColumn("x", F.explode(F.expr("sequence(0L, own - 1)")))
+    among = rest.withColumn("x", F.explode(F.expr("sequence(0L, rest - 1)")))
+    side = F.when(x == y, 2).when(x < y, 0).otherwise(1)
+    parts = [
+        main.select(F.xxhash64("node", F.lit(0), x, y).alias("node"), "id", "comp", F.lit(0).alias("side")),
+        met.select(F.xxhash64("node", F.lit(0), x, y).alias("node"), "id", "comp", F.lit(1).alias("side")),
+        among.select(F.xxhash64("node", F.lit(1), F.least(x, y), F.greatest(x, y)).alias("node"), "id", "comp", side.alias("side")),
+    ]
+    return _union(parts).withColumn("side", F.col("side").cast("long"))
 
 
 def _undecided(n: np.ndarray, sketches: np.ndarray, x: int, least: float, ratio: float) -> np.ndarray:
@@ -122,12 +154,14 @@ def _forest(ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, least: float,
     return out
 
 
-def _apart(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray, least: float, ratio: float) -> np.ndarray:
-    """Members that sketches allow to be linked with a member of another component."""
+def _apart(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray, side: np.ndarray, least: float, ratio: float) -> np.ndarray:
+    """Members that sketches allow to be linked with a member of another component, on the other side where there are sides."""
     out = np.zeros(len(n), dtype=bool)
     for x in range(1, len(n)):
-        near = _undecided(n, sketches, x, least, ratio)
-        near = near[comp[near] != comp[x]]
+        other = np.flatnonzero((comp[:x] != comp[x]) & ((side[:x] != side[x]) | (side[x] == 2)))
+        if not len(other):
+            continue
+        near = other[_undecided(np.r_[n[other], n[x]], np.vstack([sketches[other], sketches[x]]), len(other), least, ratio)]
         if len(near):
             out[near] = out[x] = True
     return out
@@ -210,13 +244,13 @@ def _propose(members: DataFrame, least: float, ratio: float) -> DataFrame:
 
 
 def _hard(members: DataFrame, least: float, ratio: float) -> DataFrame:
-    """(node, id, comp) of members (with comp) that may be linked across components."""
+    """(node, id, comp) of members (with comp and side) that may be linked across components."""
 
     def solve(t: pa.Table) -> list[tuple]:
-        node, ids, comp = (t.column(c).to_numpy() for c in ("node", "id", "comp"))
+        node, ids, comp, side = (t.column(c).to_numpy() for c in ("node", "id", "comp", "side"))
         if (comp == comp[0]).all():
             return []
-        found = np.flatnonzero(_apart(t.column("n").to_numpy(), _sketches(t), comp, least, ratio))
+        found = np.flatnonzero(_apart(t.column("n").to_numpy(), _sketches(t), comp, side, least, ratio))
         return [(int(node[i]), int(ids[i]), int(comp[i])) for i in found]
 
     return _by_node(members, solve, "node long, id long, comp long")
@@ -284,25 +318,47 @@ def near_dedup(
 
     s = percent / 100
     least = s - 4.5 * math.sqrt(s * (1 - s) / SKETCH)
-    leaves, heads = _nodes(reps, node_limit, max_depth)
-    members = written(leaves.join(reps.select("id", "n", "sketch"), "id").select("node", "id", "n", "sketch"), "near-members")
+    sketched = reps.select("id", "n", "sketch")
+    leaves, heads, large = _nodes(reps, node_limit, max_depth)
+    members = written(leaves.join(sketched, "id").select("node", "id", "n", "sketch"), "near-members")
     pairs = _propose(members, least, s)
+    if large is not None:
+        large = written(large, "near-large")
+        pairs = pairs.union(_propose(_blocks(large, node_limit).join(sketched, "id").select("node", "id", "n", "sketch"), least, s))
     if heads is not None:
-        pairs = pairs.union(_agreeing(heads, reps.select("id", "n", "sketch"), least, s))
+        pairs = pairs.union(_agreeing(heads, sketched, least, s))
     with small_batches(spark, 5000):
         pairs = written(pairs.distinct(), "near-pairs")
     met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a shuffle at every size: the ids that met grow with the input
-    texts = written(rows.join(met.hint("merge"), "id").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
+
+    def texts_of(ids: DataFrame, tag: str) -> DataFrame:
+        # a shuffle at every size: the ids that met grow with the input
+        return written(rows.join(ids.hint("merge"), "id").groupBy("id").agg(F.max("text").alias("text")), tag)
+
+    texts = texts_of(met, "near-texts")
     with small_batches(spark, 256):
         checked = written(_confirm(pairs, texts, shingle, percent), "near-checked")
     confirmed = checked.where("ok").select("a", "b")
-    if not checked.where("not ok").isEmpty():  # else the forests hold, and nothing that sketches allow is apart
+    rejected = not checked.where("not ok").isEmpty()  # if none, the forests hold, and nothing that sketches allow is apart in a leaf
+    if rejected or large is not None:
         comps = connected_components(confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-parts")
-        parted = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+
+        def parted(df: DataFrame) -> DataFrame:
+            return df.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+        open_nodes = []
+        if rejected:
+            open_nodes.append(parted(members).select("node", "id", "n", "sketch", "comp", F.lit(2).cast("long").alias("side")))
+        if large is not None:
+            tiles = _tiles(written(parted(large).select("node", "id", "comp"), "near-parted"), node_limit)
+            open_nodes.append(tiles.join(sketched, "id").select("node", "id", "n", "sketch", "comp", "side"))
         with small_batches(spark, 5000):
-            hard = written(_hard(parted.select("node", "id", "n", "sketch", "comp"), least, s), "near-hard")
+            hard = written(_hard(_union(open_nodes), least, s), "near-hard")
+        # a member of a tile may not have met anyone yet
+        late = hard.select("id").distinct().join(met, "id", "left_anti")
+        if not late.isEmpty():
+            texts = texts.union(texts_of(late, "near-late"))
         with small_batches(spark, 256):
             confirmed = confirmed.union(written(_decide(hard, texts, shingle, percent), "near-decided"))
     # members of a class are linked from the start

@@ -406,3 +406,14 @@ def test_near_odd(spark):
     assert near_dedup(table(spark, [])).count() == 0
     out = near_dedup(table(spark, ["a b c d e f", "a b c d e f", "A b  c d e f", None, ""], [3, 3, 1, 5, None])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles) for r in out) == [("1", "1", 2), ("3", "1", 2), ("3", "1", 2), ("5", "5", 0), ("None", "None", 0)]
+
+
+def test_near_large_node(spark):
+    """Texts that share most words, of which only neighbours in a chain are alike: no node gets smaller, and each link is needed."""
+    r = random.Random(4)
+    near = [" ".join([*(f"c{i}" for i in range(280)), *(f"t{k}_{i}" for k in range(j, j + 6) for i in range(20))]) for j in range(300)]
+    r.shuffle(near)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup(table(spark, near), node_limit=20).collect()}
+    want = brute_near(list(enumerate(near)))
+    assert {c for _, c, _ in want.values()} == {0}
+    assert got == want
