@@ -203,6 +203,15 @@ def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return THRESHOLD
 
 
+def _fitting(sizes: list[int], limit: int) -> list[bool]:
+    """Which rows are taken, in order: those that fit the bytes left; one that does not fit leaves room for later ones."""
+    out = []
+    for n in sizes:
+        out.append(n <= limit)
+        limit -= n if out[-1] else 0
+    return out
+
+
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES
 ) -> TextCNN:
@@ -211,7 +220,7 @@ def train_toxicity(
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(ids), "id")  # at most ``sample`` rows
     rows = written(own, "toxicity-sample")
     sizes = rows.select("id", F.octet_length("text").alias("n")).groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id"), "id").toPandas()
-    ids_kept = sizes["id"][sizes["n"].cumsum() <= sample_bytes].tolist()
+    ids_kept = sizes["id"][_fitting(sizes["n"].tolist(), sample_bytes)].tolist()
     found = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in ids_kept], "id long")), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     texts = [t.copy() for chunk in found.column("text").chunks for t in texts_buckets(chunk)]
     return train(texts, found.column("y").to_numpy().astype(float), found.column("lang").to_pylist())

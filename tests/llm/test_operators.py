@@ -304,6 +304,19 @@ def test_toxicity(spark):
 # -- 8
 
 
+def test_toxicity_sample_has_no_cliff(spark):
+    from sparrowlake.llm import toxicity
+
+    texts = [("you stupid idiot fool" if i % 2 else "a calm and pleasant day") + f" w{i}" for i in range(60)]
+    first = min(range(60), key=lambda i: spark.range(60).selectExpr("id", "xxhash64(id) h").collect()[i].h)
+    texts[first] += " long" * 2000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(table(spark, texts), labels, sample_bytes=8000)
+    scores = {r.score for r in toxicity.score_toxicity(table(spark, texts), model).collect()}
+    assert len(scores) > 2
+    assert toxicity._fitting([30, 5, 9, 3], 10) == [False, True, False, True]
+
+
 def test_mixing(spark):
     import math
 
