@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlake.llm.common import written
+from sparrowlake.llm.common import drop, written
 
 
 def _rewired(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     """(node, component) for each node of the edges (u, v); component is the least node reachable."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), tag)
     while not _settled(now):
-        now = written(_small_star(_large_star(now)), tag)
+        before, now = now, written(_small_star(_large_star(now)), tag)
+        drop(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

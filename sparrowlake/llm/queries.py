@@ -68,7 +68,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlake.llm import textnp
-from sparrowlake.llm.common import forget, fresh_path, release, row_key, small_batches, written
+from sparrowlake.llm.common import forget, fresh_path, row_key, small_batches, written
 from sparrowlake.llm.fm_index import FMIndex
 
 SIZE, GRAM, RUN, HOT, INDEX_WORDS = 20, 6, 64, 4096, 150_000  # RUN: more than the windows that can share a minimizer's place
@@ -240,7 +240,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         segments = written(_segments(rows.join(hits, "key"), size), "substring-segments", segments_path)
         firsts = written(_firsts(_classes(segments), size, index_words), "substring-firsts")
     forget(spark, segments_path)  # all that is needed of them is in firsts
-    release(spark)
     firsts = firsts.where("mask != 0").groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("firsts"))
     out = _kept(rows.join(hits, "key", "left").join(firsts, "key", "left"), size)
     return out.withColumnRenamed("id", id_col)

@@ -405,7 +405,7 @@ def test_near(spark, texts, limit):
     for k in range(40):  # a chain of edits: neighbours are alike, ends are not
         base[r.randrange(90)] = f"n{k}"
         near.append(" ".join(base))
-    some = [t for t in texts if t is None or len(t) < 9000] + near
+    some = [*texts, " ".join(["lead", *near[-1].split() * 200]), *near, " ".join(near[-1].split() * 200)]
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup(table(spark, some), node_limit=limit).collect()}
     want = brute_near(list(enumerate(some)))
     if limit == 2000:
@@ -430,3 +430,48 @@ def test_near_large_node(spark):
     want = brute_near(list(enumerate(near)))
     assert {c for _, c, _ in want.values()} == {0}
     assert got == want
+
+
+@pytest.mark.parametrize("limit", [2000, 30])
+def test_near_hub(spark, limit):
+    """Edited copies of one text, most of them alike to that text only."""
+    r = random.Random(3)
+    hub = [f"h{i}" for i in range(204)]
+    texts = []
+    for k in range(400):
+        ws = list(hub)
+        for e in range(3 if k != 200 else 0):
+            ws[r.randrange(204)] = f"x{k}_{e}"
+        texts.append(" ".join(ws))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup(table(spark, texts), node_limit=limit).collect()}
+    assert got == brute_near(list(enumerate(texts))) and {c for _, c, _ in got.values()} == {0}
+
+
+def test_near_texts_of_one_id(spark):
+    """Rows are documents: two texts of one id are searched and confirmed each on its own."""
+    r = random.Random(9)
+    for _ in range(3):
+        a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(90)] for x in "ab")
+        near = lambda ws: " ".join(["changed", *ws[1:]])
+        rows = [(3, " ".join(a)), (3, " ".join(b)), (1, near(a)), (2, near(b)), (4, None), (4, " ".join(a))]
+        out = near_dedup(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == [(1, 86, 1), (2, 86, 2), (3, 86, 1), (3, 86, 2), (4, 0, 4), (4, 86, 1)]
+
+
+def test_ids_that_are_no_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        near_dedup(table(spark, ["a"]), id_col="key")
+
+
+def test_word_hashes():
+    """Long words that a polynomial hash modulo a power of two cannot tell apart, and words at all lengths about eight bytes."""
+    import pyarrow as pa
+
+    from sparrowlake.llm import textnp
+
+    flip = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[x] for x in flip), "".join("ba"[x] for x in flip), *("c" * n for n in range(1, 300)), "c" * 8 + "\x00"]
+    blocks = list(textnp.blocks(pa.array([" ".join(words), " ".join(reversed(words))]), textnp.separators()))
+    h = np.concatenate([b.hashes() for b in blocks])
+    n = len(words)
+    assert len(set(h.tolist())) == n and h[:n].tolist() == h[n:][::-1].tolist()
