@@ -24,18 +24,16 @@ class Bits:
 
 
 class FMIndex:
-    """Over sequences of symbols from 1; each is followed by a 0. Answers patterns of up to ``depth`` symbols."""
+    """Over sequences of symbols from 1; each is followed by a 0. Answers patterns of up to ``depth`` symbols.
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.text, self.depth, n = text, depth, len(text)
-        rank, h = text.astype(np.int64), 1
-        while h < depth:  # sorted by prefixes of doubling length
-            after = np.zeros(n, dtype=np.int64)
-            after[: max(n - h, 0)] = rank[h:] + 1
-            _, rank = np.unique(rank * (n + 2 + int(rank.max(initial=0))) + after, return_inverse=True)
-            h *= 2
-        self.sa = np.argsort(rank, kind="stable")
-        bwt = text[self.sa - 1]
+    Each place of the text has a ``rank``; of every group of places that share ``depth`` symbols the index keeps the
+    least. The text itself and its suffix array are not kept.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, rank: np.ndarray):
+        self.depth, self.size = depth, len(text)
+        sa = self._sorted(text, depth)
+        bwt = text[sa - 1]
         top = int(text.max(initial=0))
         self.levels: list[Bits] = []
         self.zeros: list[int] = []
@@ -49,22 +47,45 @@ class FMIndex:
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         symbols = np.arange(top + 1)
         self.base = self._descend(symbols, np.zeros(top + 1, dtype=np.int64))
-        self.lcp = self._lcp()
-        self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _lcp(self) -> np.ndarray:
-        """Of each sorted suffix with the one before it, up to ``depth``."""
-        n = len(self.sa)
-        padded = np.concatenate([self.text, np.full(self.depth, -1, dtype=self.text.dtype)])
-        out = np.zeros(n, dtype=np.int16)
+        self.lcp = self._lcp(text, sa)
+        self._heads: dict[int, np.ndarray] = {}
+        self.least = np.minimum.reduceat(rank[sa], self.heads(depth))
+
+    @staticmethod
+    def _sorted(text: np.ndarray, depth: int) -> np.ndarray:
+        """Places in the order of their next ``depth`` symbols, by prefixes of doubling length."""
+        n = len(text)
+        order, h = text.astype(np.int64), 1
+        while h < depth:
+            after = np.zeros(n, dtype=np.int64)
+            after[: max(n - h, 0)] = order[h:] + 1
+            _, order = np.unique(order * (n + 2 + int(order.max(initial=0))) + after, return_inverse=True)
+            h *= 2
+        return np.argsort(order, kind="stable")
+
+    def _lcp(self, text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+        """Of each sorted place with the one before it, up to ``depth``."""
+        n = len(sa)
+        padded = np.concatenate([text, np.full(self.depth, -1, dtype=text.dtype)])
+        out = np.zeros(n, dtype=np.uint8)
         same = np.ones(max(n - 1, 0), dtype=bool)
         for k in range(self.depth):
-            same &= padded[self.sa[1:] + k] == padded[self.sa[:-1] + k]
+            same &= padded[sa[1:] + k] == padded[sa[:-1] + k]
             if not same.any():
                 break
             out[1:] += same
         return out
 
+    def heads(self, length: int) -> np.ndarray:
+        """Where groups of places that share their first ``length`` symbols begin."""
+        if length not in self._heads:
+            self._heads[length] = np.flatnonzero(self.lcp < length).astype(np.int32)
+        return self._heads[length]
+
+    def least_rank(self, rows: np.ndarray) -> np.ndarray:
+        """The least rank among the places that share ``depth`` symbols with these rows of the index."""
+        return self.least[np.searchsorted(self.heads(self.depth), rows, "right") - 1]
+
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where position i goes when the wavelet matrix is followed down by the symbol's bits."""
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
@@ -81,15 +102,6 @@ class FMIndex:
         lo, hi = both[: len(s)] + shift, both[len(s) :] + shift
         return lo, np.where(known, hi, lo)
 
-    def bounds(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each sorted suffix the interval of those that share its first ``length`` symbols."""
-        if length not in self._bounds:
-            at = np.flatnonzero(self.lcp < length)
-            ends = np.append(at[1:], len(self.lcp))
-            group = np.cumsum(self.lcp < length) - 1
-            self._bounds[length] = at[group], ends[group]
-        return self._bounds[length]
-
     def matching_statistics(self, queries: list[np.ndarray], most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each position of each query: the length, up to ``most``, of its longest match in the index, and the first row of that match's interval.
 
@@ -100,7 +112,7 @@ class FMIndex:
         ends = np.cumsum(sizes)
         flat = np.concatenate(queries) if len(queries) else np.zeros(0, np.int64)
         found, rows = np.zeros(len(flat), dtype=np.int16), np.zeros(len(flat), dtype=np.int64)
-        n = len(self.sa)
+        n = self.size
         lo, hi, size = np.zeros(len(sizes), np.int64), np.full(len(sizes), n, np.int64), np.zeros(len(sizes), np.int64)
         for step in range(int(sizes.max(initial=0))):
             live = np.flatnonzero(sizes > step)
@@ -127,8 +139,8 @@ class FMIndex:
         for length in np.unique(size[lanes]):
             own = lanes[size[lanes] == length]
             if length == 0:
-                lo[own], hi[own] = 0, len(self.sa)
+                lo[own], hi[own] = 0, self.size
             else:
-                begin, end = self.bounds(int(length))
-                at = lo[own]
-                lo[own], hi[own] = begin[at], end[at]
+                heads = self.heads(int(length))
+                at = np.searchsorted(heads, lo[own], "right")
+                lo[own], hi[own] = heads[at - 1], np.append(heads, self.size)[at]

@@ -6,22 +6,24 @@ searched for in every index. Consecutive windows whose minimizer stands at the s
 
 1. Runs are counted by minimizer (combined before the shuffle); a minimizer seen once proves its windows unique.
 2. Runs with repeated minimizers are cut out of their documents as segments. Segments equal in all bytes collapse
-   to their first place (before the shuffle), which makes large groups of copies one row; minimizers with more than
-   ``hot`` runs are dealt window by window instead, under the window's own hash.
-3. A shard holds whole minimizers, cut into indexes of a bounded number of words. Its segments are streamed against
-   its FM-index by backward search over the wavelet matrix; a window whose match interval holds no earlier place
-   is a first. Words are compared as bytes, never by hash alone.
+   to their first place in each task before the shuffle, which makes a task's large groups of copies one row;
+   minimizers with more than ``hot`` runs are dealt window by window instead, under the window's own hash.
+3. A shard holds whole minimizers, cut into indexes of a bounded number of words. The first places of each
+   minimizer are indexed, and all its segments are streamed against the index by backward search over the wavelet
+   matrix: a window whose matching statistic reaches ``size`` repeats an earlier place, or is itself the least place
+   of its interval. Segments with windows that nothing matched are streamed against an index of the next places,
+   twice as many of each minimizer, until every window has been found. Words are compared as bytes, never by hash.
 4. Intervals to remove are a document's repeated runs without its firsts.
 
 Each step is written to the shared folder. No index, segment list or position reaches the driver.
 
-Defined results: null and empty texts have no words; rows alike in id and text count as one document, rows that
-share only the id are ordered by their hash; null ids come last; other columns are ignored, whatever their names.
+Defined results: null and empty texts have no words; ids are whole numbers; rows alike in id and text count as one
+document, rows that share only the id are ordered by their hash; null ids come last; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlake.llm import textnp
-from sparrowlake.llm.common import forget, fresh_path, row_key, small_batches, written
+from sparrowlake.llm.common import drop, join_counted, row_key, small_batches, whole_id, written
 from sparrowlake.llm.fm_index import FMIndex
 
 SIZE, GRAM, RUN, HOT, INDEX_WORDS = 20, 6, 64, 4096, 150_000  # RUN: more than the windows that can share a minimizer's place
+#: Bytes of segments that a task holds to collapse copies.
+HELD = 32_000_000
 LAST = (1 << 63) - 1
 _BLANK = bytes(32 if chr(i) in " \t\n\x0b\x0c\r" else i for i in range(256))
 
@@ -59,7 +63,7 @@ def _runs(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seps = textnp.separators()
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys = np.array(batch.column("key").to_pylist(), dtype=object)
             for block in textnp.blocks(batch.column("text"), seps):
                 counts = np.diff(block.first) - size + 1
                 own = np.flatnonzero(counts > 0)
@@ -76,25 +80,33 @@ def _runs(rows: DataFrame, size: int) -> DataFrame:
                 starts = np.flatnonzero(cut)
                 lens = np.diff(np.r_[starts, len(at)])
                 v = g[at]
-                yield pa.RecordBatch.from_arrays([pa.array(v[starts].view(np.int64)), pa.array(np.repeat(keys[block.row + own], n)[starts]), pa.array(local[starts] * RUN + lens - 1)], ["v", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[starts].view(np.int64)), pa.array(np.repeat(keys[block.row + own], n)[starts], pa.binary()), pa.array(local[starts] * RUN + lens - 1)], ["v", "key", "pos"])
 
-    return rows.select("key", "text").mapInArrow(run, "v long, key long, pos long")
+    return rows.select("key", "text").mapInArrow(run, "v long, key binary, pos long")
 
 
 def _segments(rows: DataFrame, size: int) -> DataFrame:
-    """v, seg (bytes of the run's words), id, key, start; rows have hits: array of (v, pos, hot)."""
+    """v, seg (bytes of the run's words), and its first place in this task: id, key, start; rows have hits: array of (v, pos, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seps = textnp.separators()
+        firsts: dict[tuple[int, bytes], tuple[int, bytes, int]] = {}
+        weight = 0
+
+        def collapsed() -> pa.RecordBatch:
+            v, seg = zip(*firsts, strict=True) if firsts else ((), ())
+            own, key, start = zip(*firsts.values(), strict=True) if firsts else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(seg, pa.binary()), pa.array(own, pa.int64()), pa.array(key, pa.binary()), pa.array(start, pa.int64())], ["v", "seg", "id", "key", "start"])
+
         for batch in batches:
-            ids, keys, hits = batch.column("id").to_numpy(), batch.column("key").to_numpy(), batch.column("hits")
+            ids, keys, hits = batch.column("id").to_numpy(), batch.column("key"), batch.column("hits")
             for block in textnp.blocks(batch.column("text"), seps):
                 data = block.data.tobytes().translate(_BLANK)
                 wide = None
-                v, seg, own_id, own_key, start = [], [], [], [], []
                 for i in range(block.rows):
                     a, _ = block.words(i)
                     row = block.row + i
+                    own, key = int(ids[row]), keys[row].as_py()
                     for hit in hits[row].as_py():
                         s, n = divmod(hit["pos"], RUN)
                         n += 1
@@ -104,79 +116,90 @@ def _segments(rows: DataFrame, size: int) -> DataFrame:
                         else:
                             parts = [(hit["v"], s, n)]
                         for name, at, m in parts:
-                            v.append(name), own_id.append(ids[row]), own_key.append(keys[row]), start.append(at)
-                            seg.append(data[block.starts[a + at] : block.ends[a + at + m + size - 2]])
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(seg, pa.binary()), pa.array(own_id, pa.int64()), pa.array(own_key, pa.int64()), pa.array(start, pa.int64())], ["v", "seg", "id", "key", "start"])
-
-    return rows.select("id", "key", "text", "hits").mapInArrow(run, "v long, seg binary, id long, key long, start long")
-
-
-def index_firsts(segs: list[bytes], ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """For each segment a mask of its windows that stand at no earlier place in any of the segments."""
+                            seg = data[block.starts[a + at] : block.ends[a + at + m + size - 2]]
+                            before = firsts.get((name, seg))
+                            if before is None:
+                                weight += len(seg) + 100
+                            if before is None or (own, key, at) < before:
+                                firsts[name, seg] = own, key, at
+                    if weight > HELD:
+                        yield collapsed()
+                        firsts.clear()
+                        weight = 0
+        yield collapsed()
+
+    return rows.select("id", "key", "text", "hits").mapInArrow(run, "v long, seg binary, id long, key binary, start long")
+
+
+def index_firsts(segs: list[bytes], places: list[tuple[int, bytes, int]], v: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each segment a mask of its windows that stand at no earlier place in any of the segments.
+
+    Segments are sorted by minimizer ``v``, then by place (id, key, start).
+    """
     words = [s.split() for s in segs]
     lens = np.array([len(w) for w in words], dtype=np.int64)
     codes, _ = pd.factorize(np.array([w for ws in words for w in ws] or [b""], dtype=object))
     begin = np.cumsum(lens) - lens
-    text = np.zeros(int(lens.sum()) + len(lens), dtype=np.int64)
-    place = np.arange(int(lens.sum())) + np.repeat(np.arange(len(lens)), lens)
-    text[place] = codes[: len(place)] + 1
-    index = FMIndex(text, size)
-    # order of all places: by document, then start
-    seg_of = np.repeat(np.arange(len(lens)), lens)
-    offset = np.arange(len(place)) - np.repeat(begin, lens)
-    order = np.lexsort((starts[seg_of] + offset, keys[seg_of], ids[seg_of]))
-    rank = np.full(len(text), len(text), dtype=np.int64)
-    ranks = np.empty(len(place), dtype=np.int64)
-    ranks[order] = np.arange(len(place))
-    # the same place may stand in two segments: equal places get equal ranks
-    s_id, s_key, s_at = ids[seg_of][order], keys[seg_of][order], (starts[seg_of] + offset)[order]
-    fresh = np.r_[True, (s_id[1:] != s_id[:-1]) | (s_key[1:] != s_key[:-1]) | (s_at[1:] != s_at[:-1])]
-    ranks[order] = np.cumsum(fresh) - 1
-    rank[place] = ranks
-    lengths, rows = index.matching_statistics([codes[b : b + n] + 1 for b, n in zip(begin, lens, strict=True)], size)
-    low, _ = index.bounds(size)
-    heads = np.flatnonzero(index.lcp < size)
-    least = np.minimum.reduceat(rank[index.sa], heads)
-    group = np.cumsum(index.lcp < size) - 1
-    out = np.zeros(len(segs), dtype=np.int64)
-    for i in range(len(segs)):
-        n = int(lens[i]) - size + 1
-        first = (lengths[i][:n] >= size) & (least[group[rows[i][:n]]] == ranks[begin[i] : begin[i] + n])
-        out[i] = int((first.astype(np.uint64) << np.arange(n, dtype=np.uint64)).sum().view(np.int64))
-    return out
-
-
-def _firsts(classes: DataFrame, size: int, index_words: int) -> DataFrame:
+    coded = [codes[b : b + n] + 1 for b, n in zip(begin, lens, strict=True)]
+    order = np.empty(len(segs), dtype=np.int64)
+    order[sorted(range(len(segs)), key=places.__getitem__)] = np.arange(len(segs))
+    first = [np.zeros(n - size + 1, dtype=bool) for n in lens]
+    unmet = [np.ones(n - size + 1, dtype=bool) for n in lens]
+    pending, take = np.arange(len(segs)), 1
+    while len(pending):
+        names = v[pending]
+        since = np.maximum.accumulate(np.where(np.r_[True, names[1:] != names[:-1]], np.arange(len(pending)), 0))
+        indexed = np.arange(len(pending)) - since < take  # the first places of each minimizer that are left
+        own = pending[indexed]
+        text = np.concatenate([np.append(coded[i], 0) for i in own])
+        # windows of one document's segments follow each other, so a place is a segment's order, then the offset
+        rank = np.concatenate([(order[i] << 32) + np.arange(lens[i] + 1) for i in own])
+        index = FMIndex(text, size, rank)
+        lengths, rows = index.matching_statistics([coded[i] for i in pending], size)
+        left = []
+        for i, inside, found, at in zip(pending, indexed, lengths, rows, strict=True):
+            n = len(first[i])
+            met = found[:n] >= size
+            if inside:
+                first[i] |= met & unmet[i] & (index.least_rank(at[:n]) == (order[i] << 32) + np.arange(n))
+            unmet[i] &= ~met
+            if unmet[i].any():
+                left.append(i)
+        if take > len(segs) and left:
+            raise AssertionError("an index did not find the segments that it was made of")
+        pending, take = np.array(left, dtype=np.int64), take * 2
+    return first
+
+
+def _firsts(segments: DataFrame, size: int, index_words: int) -> DataFrame:
     """key, start, mask: of each segment the windows that are firsts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            keys, starts = t.column("key").to_numpy(), t.column("start").to_numpy()
-            mask = index_firsts(t.column("seg").to_pylist(), t.column("id").to_numpy(), keys, starts, size)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(starts), pa.array(mask)], ["key", "start", "mask"])
-
-        held: list[pa.Table] = []
-        words = 0
-        for batch in batches:  # sorted by v: an index is closed between two minimizers
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            v = t.column("v").to_numpy()
-            edges = np.flatnonzero(np.r_[held == [] or v[0] != held[-1].column("v")[-1].as_py(), v[1:] != v[:-1]])
-            sizes = np.cumsum([len(s) for s in t.column("seg").to_pylist()]) // 6
-            at = 0
-            for e in edges:
-                if words + (sizes[e - 1] if e else 0) - (sizes[at - 1] if at else 0) >= index_words:
-                    if e > at:
-                        held.append(t.slice(at, e - at))
-                    yield solve(pa.concat_tables(held))
-                    held, words, at = [], 0, e
-            held.append(t.slice(at))
-            words += int(sizes[-1] - (sizes[at - 1] if at else 0))
+        held: list[tuple[int, bytes, tuple[int, bytes, int]]] = []
+        known: set[bytes] = set()  # segments of the current minimizer
+        words, last = 0, None
+
+        def solved() -> pa.RecordBatch:
+            masks = index_firsts([x[1] for x in held], [x[2] for x in held], np.array([x[0] for x in held], dtype=np.int64), size)
+            some = [(x[2], m) for x, m in zip(held, masks, strict=True) if m.any()]
+            bits = [int((m.astype(np.uint64) << np.arange(len(m), dtype=np.uint64)).sum().view(np.int64)) for _, m in some]
+            return pa.RecordBatch.from_arrays([pa.array([p[1] for p, _ in some], pa.binary()), pa.array([p[2] for p, _ in some], pa.int64()), pa.array(bits, pa.int64())], ["key", "start", "mask"])
+
+        for batch in batches:  # sorted by v and place: an index is closed between two minimizers, and of equal segments the first stays
+            for v, seg, own, key, start in zip(*(batch.column(c).to_pylist() for c in ("v", "seg", "id", "key", "start")), strict=True):
+                if v != last:
+                    if words >= index_words:
+                        yield solved()
+                        held, words = [], 0
+                    known, last = set(), v
+                if seg not in known:
+                    known.add(seg)
+                    held.append((v, seg, (own, key, start)))
+                    words += len(seg) // 6
         if held:
-            yield solve(pa.concat_tables(held))
+            yield solved()
 
-    return classes.repartition("v").sortWithinPartitions("v").mapInArrow(run, "key long, start long, mask long")
+    return segments.repartition("v").sortWithinPartitions("v", "id", "key", "start").mapInArrow(run, "key binary, start long, mask long")
 
 
 def _kept(rows: DataFrame, size: int) -> DataFrame:
@@ -217,14 +240,12 @@ def _kept(rows: DataFrame, size: int) -> DataFrame:
 
 def _repeated(rows: DataFrame, size: int, hot: int) -> DataFrame:
     """key, hits: each document's runs whose minimizers are not unique."""
-    runs = _runs(rows, size)
-    counts = runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    return runs.join(counts, "v").groupBy("key").agg(F.collect_set(F.struct("v", "pos", (F.col("c") > hot).alias("hot"))).alias("hits"))
-
-
-def _classes(segments: DataFrame) -> DataFrame:
-    """Segments that are equal in all bytes as one, at their first place."""
-    return segments.groupBy("v", "seg").agg(F.min(F.struct("id", "key", "start")).alias("first")).select("v", "seg", "first.*")
+    runs = written(_runs(rows, size), "substring-runs")
+    counts = written(runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "substring-counts")
+    found = join_counted(runs, counts, "v", "c")
+    hits = written(found.groupBy("key").agg(F.collect_set(F.struct("v", "pos", (F.col("c") > hot).alias("hot"))).alias("hits")), "substring-hits")
+    drop(runs, counts)
+    return hits
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, hot: int = HOT, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -232,14 +253,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     if not 0 < size <= RUN:
         raise ValueError(f"size must be from 1 to {RUN}")
-    own = F.col(id_col).cast("long")
+    own = whole_id(docs, id_col)
     rows = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(LAST)).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     with small_batches(spark):
-        hits = written(_repeated(rows, size, hot), "substring-hits")
-        segments_path = fresh_path(spark, "substring-segments")
-        segments = written(_segments(rows.join(hits, "key"), size), "substring-segments", segments_path)
-        firsts = written(_firsts(_classes(segments), size, index_words), "substring-firsts")
-    forget(spark, segments_path)  # all that is needed of them is in firsts
-    firsts = firsts.where("mask != 0").groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("firsts"))
+        hits = _repeated(rows, size, hot)
+        firsts = written(_firsts(_segments(rows.join(hits, "key"), size), size, index_words), "substring-firsts")
+    firsts = firsts.groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("firsts"))
     out = _kept(rows.join(hits, "key", "left").join(firsts, "key", "left"), size)
     return out.withColumnRenamed("id", id_col)

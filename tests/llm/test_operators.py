@@ -16,7 +16,7 @@ from sparrowlake.llm.line_dedup import dedup_lines
 from sparrowlake.llm.mixing import mix
 from sparrowlake.llm.near_dedup import near_dedup
 from sparrowlake.llm.quality import fit_rules, score_quality, train_quality
-from sparrowlake.llm.substring_dedup import substring_dedup
+from sparrowlake.llm.substring_dedup import index_firsts, substring_dedup
 from sparrowlake.llm.token_counts import Automaton, token_counts
 from sparrowlake.llm.toxicity import score_toxicity, train_toxicity
 from sparrowlake.llm.url_filter import filter_urls
@@ -157,7 +157,8 @@ def brute_substrings(rows, size):
 
 @pytest.mark.parametrize("size,hot,words", [(20, 4096, 150_000), (20, 1, 200), (5, 3, 400), (1, 50, 150_000)])
 def test_substrings(spark, texts, size, hot, words):
-    some = [t for t in texts if t is None or len(t) < 5000] + ["x y " * 300]
+    long = " ".join(f"L{i % 700}" for i in range(2500))
+    some = [*(t for t in texts if size > 5 or t is None or len(t) < 9000), "x y " * 300, long, "lead " + long]
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(table(spark, some), size=size, hot=hot, index_words=words).collect()}
     assert got == brute_substrings(list(enumerate(some)), size)
 
@@ -173,7 +174,8 @@ def test_substrings_odd(spark):
 def test_matching_statistics():
     rng = np.random.default_rng(1)
     texts = [rng.integers(1, 5, n) for n in (40, 7, 25)]
-    index = FMIndex(np.concatenate([np.append(t, 0) for t in texts]), 8)
+    whole = np.concatenate([np.append(t, 0) for t in texts])
+    index = FMIndex(whole, 6, np.arange(len(whole))[::-1])
     queries = [rng.integers(1, 7, 50), texts[0][5:20], rng.integers(1, 5, 3)]
     lengths, rows = index.matching_statistics(queries, 6)
     flat = [tuple(t[i : i + k]) for t in texts for k in range(1, 7) for i in range(len(t) - k + 1)]
@@ -181,9 +183,31 @@ def test_matching_statistics():
         for i in range(len(q)):
             best = max([k for k in range(1, 7) if i + k <= len(q) and tuple(q[i : i + k]) in flat], default=0)
             assert got[i] == best
-            if best:
-                p = index.sa[at[i]]
-                assert tuple(index.text[p : p + best]) == tuple(q[i : i + best])
+            if best == 6:  # the least rank is the last place, as ranks go down
+                last = max(p for p in range(len(whole)) if tuple(whole[p : p + 6]) == tuple(q[i : i + 6]))
+                assert index.least_rank(at[i : i + 1])[0] == len(whole) - 1 - last
+
+
+def test_firsts_follow_the_matching_statistics(monkeypatch):
+    """What the index reports decides: statistics that are one short leave every window unfound."""
+    r = random.Random(1)
+    segs = [" ".join(f"s{r.randrange(3)}" for _ in range(12)).encode() for _ in range(30)]
+    places = [(i, b"", 0) for i in range(30)]
+    seen, want = set(), []
+    for s in segs:
+        w = s.split()
+        mask = []
+        for i in range(len(w) - 3):
+            mask.append(tuple(w[i : i + 4]) not in seen)
+            seen.add(tuple(w[i : i + 4]))
+        want.append(mask)
+    v = np.repeat([1, 2], 15)
+    one = [m.tolist() for m in index_firsts(segs, places, np.zeros(30, dtype=np.int64), 4)]
+    assert one == want
+    exact = FMIndex.matching_statistics
+    monkeypatch.setattr(FMIndex, "matching_statistics", lambda self, q, most: ([x - 1 for x in exact(self, q, most)[0]], exact(self, q, most)[1]))
+    with pytest.raises(AssertionError):
+        index_firsts(segs, places, v, 4)
 
 
 # -- 4
