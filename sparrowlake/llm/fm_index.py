@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
+_LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A bit vector, packed, with counts of ones before each 64-bit word."""
 
@@ -19,15 +22,15 @@ class Bits:
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
         at = i >> 6
-        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & low)
+        return self.before[at] + np.bitwise_count(self.words[at] & _LOW[i & 63])
 
 
 class FMIndex:
     """Over sequences of symbols from 1; each is followed by a 0. Answers patterns of up to ``depth`` symbols.
 
     Each place of the text has a ``rank``; of every group of places that share ``depth`` symbols the index keeps the
-    least. The text itself and its suffix array are not kept.
+    least. The text itself and its suffix array are not kept. ``least_by_place`` (for each place, the least rank of its
+    group) can be deleted once the text's own places need no more answers.
     """
 
     def __init__(self, text: np.ndarray, depth: int, rank: np.ndarray):
@@ -49,7 +52,10 @@ class FMIndex:
         self.base = self._descend(symbols, np.zeros(top + 1, dtype=np.int64))
         self.lcp = self._lcp(text, sa)
         self._heads: dict[int, np.ndarray] = {}
-        self.least = np.minimum.reduceat(rank[sa], self.heads(depth))
+        heads = self.heads(depth)
+        self.least = np.minimum.reduceat(rank[sa], heads)
+        self.least_by_place = np.empty(len(text), dtype=rank.dtype)
+        self.least_by_place[sa] = np.repeat(self.least, np.diff(np.append(heads, len(sa))))
 
     @staticmethod
     def _sorted(text: np.ndarray, depth: int) -> np.ndarray:
@@ -102,23 +108,23 @@ class FMIndex:
         lo, hi = both[: len(s)] + shift, both[len(s) :] + shift
         return lo, np.where(known, hi, lo)
 
-    def matching_statistics(self, queries: list[np.ndarray], most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each position of each query: the length, up to ``most``, of its longest match in the index, and the first row of that match's interval.
+    def matching_statistics(self, flat: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each position of the queries (one after another in ``flat``, with their ``sizes``): the length, up to ``most``, of its longest match in the index, and the first row of that match's interval.
 
         Queries go side by side from right to left. A match at ``most`` is widened to its first ``most`` - 1 symbols
-        before the next symbol is put in front; a match that cannot be extended loses its last symbols until it can.
+        before the next symbol is put in front; a match that cannot be extended loses its last symbols until its
+        interval is a wider one, and so on until it can.
         """
-        sizes = np.array([len(q) for q in queries], dtype=np.int64)
         ends = np.cumsum(sizes)
-        flat = np.concatenate(queries) if len(queries) else np.zeros(0, np.int64)
         found, rows = np.zeros(len(flat), dtype=np.int16), np.zeros(len(flat), dtype=np.int64)
         n = self.size
         lo, hi, size = np.zeros(len(sizes), np.int64), np.full(len(sizes), n, np.int64), np.zeros(len(sizes), np.int64)
+        edges = np.append(self.lcp, 0).astype(np.int64)
         for step in range(int(sizes.max(initial=0))):
             live = np.flatnonzero(sizes > step)
             at = ends[live] - 1 - step
             full = live[size[live] == most]
-            self._shrink(full, lo, hi, size)
+            self._shrink(full, np.full(len(full), most - 1), lo, hi, size)
             left = live
             while len(left):
                 symbol = flat[ends[left] - 1 - step]
@@ -128,19 +134,19 @@ class FMIndex:
                 size[left[ok]] += 1
                 left = left[~ok]
                 left = left[size[left] > 0]
-                self._shrink(left, lo, hi, size)
+                self._shrink(left, np.minimum(np.maximum(edges[lo[left]], edges[hi[left]]), size[left] - 1), lo, hi, size)
             found[at], rows[at] = size[live], lo[live]
-        cuts = ends[:-1]
-        return np.split(found, cuts), np.split(rows, cuts)
-
-    def _shrink(self, lanes: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> None:
-        """Take the last symbol off the lanes' matches."""
-        size[lanes] -= 1
-        for length in np.unique(size[lanes]):
-            own = lanes[size[lanes] == length]
+        return found, rows
+
+    def _shrink(self, lanes: np.ndarray, to: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> None:
+        """Cut the lanes' matches to their first ``to`` symbols."""
+        size[lanes] = to
+        for length in np.flatnonzero(np.bincount(to)):
+            own = lanes[to == length]
             if length == 0:
                 lo[own], hi[own] = 0, self.size
             else:
                 heads = self.heads(int(length))
                 at = np.searchsorted(heads, lo[own], "right")
-                lo[own], hi[own] = heads[at - 1], np.append(heads, self.size)[at]
+                lo[own] = heads[at - 1]
+                hi[own] = np.where(at < len(heads), heads[np.minimum(at, len(heads) - 1)], self.size)

@@ -8,11 +8,11 @@ searched for in every index. Consecutive windows whose minimizer stands at the s
 2. Runs with repeated minimizers are cut out of their documents as segments. Segments equal in all bytes collapse
    to their first place in each task before the shuffle, which makes a task's large groups of copies one row;
    minimizers with more than ``hot`` runs are dealt window by window instead, under the window's own hash.
-3. A shard holds whole minimizers, cut into indexes of a bounded number of words. The first places of each
-   minimizer are indexed, and all its segments are streamed against the index by backward search over the wavelet
-   matrix: a window whose matching statistic reaches ``size`` repeats an earlier place, or is itself the least place
-   of its interval. Segments with windows that nothing matched are streamed against an index of the next places,
-   twice as many of each minimizer, until every window has been found. Words are compared as bytes, never by hash.
+3. A shard holds whole minimizers, cut into indexes of a bounded number of words. The first place of each
+   minimizer is indexed, and its other segments are streamed against the index by backward search over the wavelet
+   matrix: a window whose matching statistic reaches ``size`` repeats an earlier place. Segments with windows that
+   nothing matched go on to an index of the next places, twice as many of each minimizer, until none is left; of
+   equal windows inside one index the least place is the first. Words are compared as bytes, never by hash.
 4. Intervals to remove are a document's repeated runs without its firsts.
 
 Each step is written to the shared folder. No index, segment list or position reaches the driver.
@@ -131,6 +131,11 @@ def _segments(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "key", "text", "hits").mapInArrow(run, "v long, seg binary, id long, key binary, start long")
 
 
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one range after another."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def index_firsts(segs: list[bytes], places: list[tuple[int, bytes, int]], v: np.ndarray, size: int) -> list[np.ndarray]:
     """For each segment a mask of its windows that stand at no earlier place in any of the segments.
 
@@ -138,37 +143,37 @@ def index_firsts(segs: list[bytes], places: list[tuple[int, bytes, int]], v: np.
     """
     words = [s.split() for s in segs]
     lens = np.array([len(w) for w in words], dtype=np.int64)
-    codes, _ = pd.factorize(np.array([w for ws in words for w in ws] or [b""], dtype=object))
+    codes = pd.factorize(np.array([w for ws in words for w in ws] or [b""], dtype=object))[0] + 1
     begin = np.cumsum(lens) - lens
-    coded = [codes[b : b + n] + 1 for b, n in zip(begin, lens, strict=True)]
     order = np.empty(len(segs), dtype=np.int64)
     order[sorted(range(len(segs)), key=places.__getitem__)] = np.arange(len(segs))
-    first = [np.zeros(n - size + 1, dtype=bool) for n in lens]
-    unmet = [np.ones(n - size + 1, dtype=bool) for n in lens]
+    # windows of one document's segments follow each other, so a place is a segment's order, then the offset
+    rank = np.repeat((order << 32) - begin, lens) + np.arange(len(codes) if len(segs) else 0)
+    n = lens - size + 1
+    first, unmet = np.zeros(len(codes), dtype=bool), np.zeros(len(codes), dtype=bool)  # by where a window begins
+    unmet[_spread(begin, n)] = True
     pending, take = np.arange(len(segs)), 1
     while len(pending):
         names = v[pending]
         since = np.maximum.accumulate(np.where(np.r_[True, names[1:] != names[:-1]], np.arange(len(pending)), 0))
         indexed = np.arange(len(pending)) - since < take  # the first places of each minimizer that are left
-        own = pending[indexed]
-        text = np.concatenate([np.append(coded[i], 0) for i in own])
-        # windows of one document's segments follow each other, so a place is a segment's order, then the offset
-        rank = np.concatenate([(order[i] << 32) + np.arange(lens[i] + 1) for i in own])
-        index = FMIndex(text, size, rank)
-        lengths, rows = index.matching_statistics([coded[i] for i in pending], size)
-        left = []
-        for i, inside, found, at in zip(pending, indexed, lengths, rows, strict=True):
-            n = len(first[i])
-            met = found[:n] >= size
-            if inside:
-                first[i] |= met & unmet[i] & (index.least_rank(at[:n]) == (order[i] << 32) + np.arange(n))
-            unmet[i] &= ~met
-            if unmet[i].any():
-                left.append(i)
-        if take > len(segs) and left:
-            raise AssertionError("an index did not find the segments that it was made of")
-        pending, take = np.array(left, dtype=np.int64), take * 2
-    return first
+        own, streamed = pending[indexed], pending[~indexed]
+        source, room = _spread(begin[own], lens[own]), lens[own] + 1
+        target = _spread(np.cumsum(room) - room, lens[own])
+        text, ranks = np.zeros(int(room.sum()), dtype=np.int64), np.full(int(room.sum()), LAST)
+        text[target], ranks[target] = codes[source], rank[source]
+        index = FMIndex(text, size, ranks)
+        first[source] |= unmet[source] & (index.least_by_place[target] == rank[source])
+        unmet[source] = False
+        del index.least_by_place
+        if len(streamed):
+            at = _spread(begin[streamed], lens[streamed])
+            lengths, _ = index.matching_statistics(codes[at], lens[streamed], size)
+            unmet[at[lengths >= size]] = False  # repeats of an indexed place, which is an earlier one
+            starts = np.cumsum(lens[streamed]) - lens[streamed]
+            streamed = streamed[np.logical_or.reduceat(unmet[at], starts)]
+        pending, take = streamed, take * 2
+    return [first[b : b + k] for b, k in zip(begin, n, strict=True)]
 
 
 def _firsts(segments: DataFrame, size: int, index_words: int) -> DataFrame:
