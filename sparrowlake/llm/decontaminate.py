@@ -6,8 +6,10 @@ over the whole corpus, each window is filed under its rarest word and that word'
 joined with it. A candidate must lie inside the document (length and position bounds) and is then verified word by
 word over a window of the item's size. Windows with a word that no document has are dropped at once.
 
-The windows are broadcast while they are at most ``broadcast_rows``; beyond, the same join is dealt by the word
-without texts and candidates are verified at their documents, so no size is turned away.
+A window that several items share is filed and verified once; items are looked up for each document afterwards.
+
+The windows are broadcast while they are at most ``broadcast_rows`` and BROADCAST_BYTES; beyond, the same join is
+dealt by the word without texts and candidates are verified at their documents, so no size is turned away.
 
 Defined results: A-Z are lower-cased, words are runs of characters other than ASCII non-alphanumerics; null texts
 have no words; items without words never occur; rows alike in id and text get alike results; empty tables and
@@ -23,7 +25,7 @@ from sparrowlake.llm.common import row_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def words(text: Column) -> Column:
@@ -32,34 +34,33 @@ def words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """item (string), win (array of words): each distinct window of each item."""
+    """item (string), wid (digest of the window), win (array of words): each distinct window of each item."""
     split = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    return split.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win")).distinct()
+    wins = split.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win"))
+    return wins.withColumn("wid", F.unhex(F.sha2(F.array_join("win", " "), 256))).distinct()  # words have no spaces
 
 
 def _positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_key(id_col, text_col).alias("key"), words(F.col(text_col)).alias("w"))
 
 
-def prefixes(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, small: bool) -> DataFrame:
+def prefixes(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str, small: bool) -> DataFrame:
     """Each window with its rarest word (token) and where in the window that stands (off, from 0)."""
-    vocabulary = windows.select(F.explode("win").alias("token")).distinct()
+    vocabulary = wins.select(F.explode("win").alias("token")).distinct()
     tokens = _positions(docs, id_col, text_col).select(F.explode("w").alias("token"))
+    placed = wins.select("wid", "win", F.posexplode("win").alias("off", "token"))
     if small:
-        counts = tokens.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+        counts = F.broadcast(tokens.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n")))
     else:
         counts = tokens.groupBy("token").agg(F.count("*").alias("n")).join(vocabulary, "token")
-    placed = windows.select("item", "win", F.posexplode("win").alias("off", "token"))
-    ranked = placed.join(counts, "token", "left").groupBy("item", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("p"))
-    return ranked.where("p.n > 0").select("item", "win", "p.token", "p.off")
+    ranked = placed.join(counts, "token", "left").groupBy("wid").agg(F.first("win").alias("win"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("p"))
+    return ranked.where("p.n > 0").select("wid", "win", "p.token", "p.off")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, size: int, broadcast_rows: int) -> DataFrame:
-    """key, item, start (from 0), stop: each place where a window of an item stands in a document."""
-    windows = item_windows(items, item_col, item_text, size)
-    small = windows.limit(broadcast_rows + 1).count() <= broadcast_rows
-    filed = prefixes(docs, windows, id_col, text_col, small)
+def occurrences(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str, small: bool) -> DataFrame:
+    """key, wid, start (from 0), stop: each place where a window stands in a document."""
+    filed = prefixes(docs, wins, id_col, text_col, small)
     at, n = F.col("at"), F.size("win")
     inside = (at >= 0) & (at + n <= F.col("n_words"))
     same = F.slice("w", at + 1, n) == F.col("win")
@@ -68,9 +69,9 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, i
         found = placed.join(F.broadcast(filed), "token").withColumn("at", F.col("pos") - F.col("off")).where(inside & same)
     else:
         placed = _positions(docs, id_col, text_col).select("key", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
-        candidates = placed.join(filed, "token").withColumn("at", F.col("pos") - F.col("off")).where(inside).select("key", "item", "win", "at")
+        candidates = placed.join(filed, "token").withColumn("at", F.col("pos") - F.col("off")).where(inside).select("key", "wid", "win", "at")
         found = candidates.join(_positions(docs, id_col, text_col).dropDuplicates(["key"]), "key").where(same)
-    return found.select("key", "item", at.alias("start"), (at + n).alias("stop")).distinct()
+    return found.select("key", "wid", at.alias("start"), (at + n).alias("stop")).distinct()
 
 
 def decontaminate(
@@ -84,14 +85,19 @@ def decontaminate(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any occurrence), items (sorted array of ids as strings)."""
-    found = occurrences(docs, items, id_col, text_col, item_col, item_text, size, broadcast_rows)
+    windows = item_windows(items, item_col, item_text, size)
+    wins = windows.select("wid", "win").distinct()
+    taken = wins.limit(broadcast_rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("win", " "))).alias("bytes")).first()
+    small = taken.n <= broadcast_rows and (taken.bytes or 0) <= BROADCAST_BYTES
+    found = occurrences(docs, wins, id_col, text_col, small)
     spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     covered = lambda s: F.aggregate(
         s, zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["upto"], x["start"]))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")), lambda a: a["n"]
     )
-    per_doc = found.groupBy("key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    per_doc = per_doc.select(F.col("key").alias("_dc_key"), covered(F.col("spans")).alias("_dc_hit"), F.col("items").alias("_dc_items"))
+    by_doc = found.groupBy("key").agg(spans.alias("spans"), F.collect_set("wid").alias("wids"))
+    named = by_doc.select("key", F.explode("wids").alias("wid")).join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per_doc = by_doc.join(named, "key").select(F.col("key").alias("_dc_key"), covered(F.col("spans")).alias("_dc_hit"), F.col("items").alias("_dc_items"))
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
     base = docs.select(*[F.col(f"`{c}`") for c in own], F.size(words(F.col(text_col))).cast("long").alias("n_words"), row_key(id_col, text_col).alias("_dc_key"))
     return base.join(per_doc, "_dc_key", "left").select(
