@@ -9,8 +9,8 @@ projection without a shuffle.
 sources and ids are never inputs.
 
 Defined results: null texts have the statistics and score of empty ones; with labels of one class only, or none, all
-scores are that class's smoothed share (0.5 for none); rows are independent, so ties and repeated rows need no rule;
-other columns pass unchanged.
+scores are that class's smoothed share (0.5 for none); rows are scored each on its own, and of rows that share an id
+one is learned from, the one with the least statistics; other columns pass unchanged, but for ``score``.
 """
 
 from __future__ import annotations
@@ -148,8 +148,9 @@ def fit_rules(values: np.ndarray, y: np.ndarray, seed: int = 11) -> RuleEnsemble
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> RuleEnsemble:
     ids = sample_ids(labels, label, sample, id_col)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # at most ``sample`` rows
-    rows = with_statistics(own, "text").select("id", "y", "_q.*").toPandas().sort_values(["id", *STATISTICS])
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    one = with_statistics(own, "text").groupBy("id", "y").agg(F.min("_q").alias("_q"))  # of rows that share an id the one with the least statistics
+    rows = one.select("id", "y", "_q.*").toPandas().sort_values(["id", *STATISTICS])  # at most ``sample`` rows
     return fit_rules(rows[list(STATISTICS)].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
 
 

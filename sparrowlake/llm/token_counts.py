@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowlake.llm.common import whole_id
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts a task remembers; the table is emptied when full.
 REMEMBERED = 200_000
@@ -118,5 +120,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_words.append(len(n)), n_tokens.append(sum(n) + 2 * unknown), n_unknown.append(unknown)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)

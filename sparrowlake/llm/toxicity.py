@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlake.llm import textnp
-from sparrowlake.llm.common import written
+from sparrowlake.llm.common import drop, whole_id, written
 from sparrowlake.llm.labelled import sample_ids
 
 SAMPLE, SAMPLE_BYTES = 8_000, 24_000_000
@@ -217,11 +217,14 @@ def train_toxicity(
 ) -> TextCNN:
     ids = sample_ids(labels, label, sample, id_col)
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(ids), "id")  # at most ``sample`` rows
-    rows = written(own, "toxicity-sample")
-    sizes = rows.select("id", F.octet_length("text").alias("n")).groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id"), "id").toPandas()
-    ids_kept = sizes["id"][_fitting(sizes["n"].tolist(), sample_bytes)].tolist()
-    found = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in ids_kept], "id long")), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(ids), "id")
+    # of rows that share an id the one with the least text: at most ``sample`` rows
+    rows = written(own.groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "y", "r.*"), "toxicity-sample")
+    sizes = rows.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").toPandas()
+    fits = _fitting(sizes["n"].tolist(), sample_bytes)
+    taken = [(i,) for i, ok in zip(sizes["id"].tolist(), fits, strict=True) if ok]
+    found = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, rows.select("id").schema)), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    drop(rows)
     texts = [t.copy() for chunk in found.column("text").chunks for t in texts_buckets(chunk)]
     return train(texts, found.column("y").to_numpy().astype(float), found.column("lang").to_pylist())
 
@@ -241,7 +244,7 @@ def score_toxicity(docs: DataFrame, model: TextCNN, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores), pa.array(scores >= limits)], ["id", "score", "flagged"])
 
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
+    rows = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
     return rows.mapInArrow(run, "id long, score double, flagged boolean").withColumnRenamed("id", id_col)
 
 
