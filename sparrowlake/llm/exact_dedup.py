@@ -14,12 +14,13 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowlake.llm.common import forget, fresh_path, written
+from sparrowlake.llm.common import drop, forget, fresh_path, join_counted, written
 
 #: Members of a group that are compared with one copy of the kept text.
 ROWS_PER_SALT = 1000
@@ -49,7 +50,8 @@ def stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, dig
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # a path that is one file is no base path for a stream; as a pattern, both a file and a folder are read
-    rows = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest)
+    plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", path.rstrip("/"))
+    rows = _rows(reader.parquet(f"{plain[:-1]}[{plain[-1]}]" if plain == path.rstrip("/") else plain), id_col, text_col, digest)
     state = rows.groupBy("digest").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
     work = fresh_path(spark, "exact-dedup")
 
@@ -89,16 +91,19 @@ def exact_dedup(
     state = stream_state(spark, path, id_col, text_col, digest, files_per_batch)
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
     hits = state.where("n > 1")
-    grouped = rows.drop("body").join(hits, "digest", "left").select(
+    grouped = join_counted(rows.drop("body"), hits, "digest", "n", "left").select(
         "at", "digest", F.coalesce("keep", "at").alias("keep"), F.coalesce("n", F.lit(1)).alias("n")
     )
 
-    members = written(rows.join(hits, "digest"), "exact-members").withColumn("salts", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int"))
+    members_table = written(join_counted(rows, hits, "digest", "n"), "exact-members")
+    members = members_table.withColumn("salts", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int"))
     kept = members.where(F.col("at") == F.col("keep")).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = members.where(F.col("at") != F.col("keep")).withColumn("salt", F.pmod(F.hash("at"), "salts"))
     differing = others.join(kept, ["digest", "salt"]).where(F.col("body") != F.col("kept_body")).select("digest").distinct()
-    collisions = [r.digest for r in differing.limit(1).collect()]
-    if collisions:
+    collisions = not differing.isEmpty()
+    if not collisions:
+        drop(members_table)
+    else:
         by_bytes = rows.join(differing, "digest", "left_semi")
         classes = by_bytes.groupBy("digest", "body").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
         regrouped = by_bytes.join(classes, ["digest", "body"]).select("at", "digest", "keep", "n")
