@@ -10,21 +10,19 @@ OP2_LINE_DEDUP = """
 WITH lines AS (
   SELECT doc_id, i AS pos, string_split(text, chr(10))[i] AS line FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)
 ), hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-rolled AS (
-  SELECT *, (h + 257 * coalesce(lag(h, 1) OVER d, 0) + 66049 * coalesce(lag(h, 2) OVER d, 0)) % 4 = 0 AS closes
-  FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+rolled AS (SELECT *, h + 257 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS h2 FROM hashed),
+marked AS (
+  SELECT doc_id, pos, line, f, CASE f WHEN 1 THEN h % 2 = 0 WHEN 2 THEN h % 2 = 1 WHEN 3 THEN h2 % 2 = 0 WHEN 4 THEN h2 % 2 = 1 ELSE h % 3 = 0 END AS closes
+  FROM rolled, (SELECT unnest(range(1, 6)) AS f)
 ), numbered AS (
-  SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled
+  SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id, f ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked
 ), chunks AS (
-  SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body FROM numbered GROUP BY doc_id, chunk
-), judged AS (
-  SELECT *, n >= 2 AND trim(replace(replace(replace(body, chr(10), ' '), chr(9), ' '), chr(13), ' ')) <> ''
-            AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone
-  FROM chunks
-)
-SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+  SELECT DISTINCT doc_id, start, n, body FROM (SELECT doc_id, min(pos) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body FROM numbered GROUP BY doc_id, f, chunk)
+  WHERE n >= 2 AND trim(replace(replace(replace(body, chr(10), ' '), chr(9), ' '), chr(13), ' ')) <> ''
+), judged AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1 AS gone FROM chunks),
+lost AS (SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS pos, 1 AS gone FROM judged WHERE gone)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN lost USING (doc_id, pos) GROUP BY doc_id
 """
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -70,18 +68,30 @@ _RULE = """CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) A
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
 
+_SAME = r"""CASE WHEN contains({0}, '://') THEN translate(regexp_extract({0}, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"""
+_FOLDER = r"CASE WHEN regexp_matches(url, '(?s)^.*?://[^/?#]*/') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1) ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' END"
+
 OP9_URL_FILTER = rf"""
-WITH RECURSIVE tags AS (
-  SELECT url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM pages
+WITH RECURSIVE named AS (
+  SELECT url, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS target
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM pages) WHERE regexp_matches(t, '(?is)\brel\s*=\s*(["''][^"''>]*\bcanonical\b|canonical\b)')
   UNION ALL
-  SELECT url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages
-), links AS (
-  SELECT url AS a, target AS b FROM tags WHERE contains(url, '://') AND contains(target, '://')
-  UNION SELECT target, url FROM tags WHERE contains(url, '://') AND contains(target, '://')
-), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS t FROM pages) WHERE regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')
+), tags AS (SELECT url, replace(target, '&amp;', '&') AS target FROM named),
+full_tags AS (
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+    WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+    WHEN starts_with(target, '?') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || target
+    WHEN target <> '' AND NOT starts_with(target, '#') AND NOT regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {_FOLDER} || target END AS target
+  FROM tags WHERE contains(url, '://')
+), ends AS (SELECT {_SAME.format("url")} AS a, {_SAME.format("target")} AS b FROM full_tags WHERE contains(target, '://')),
+links AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 tainted AS (SELECT DISTINCT a FROM reach JOIN ({_URL.format("(SELECT DISTINCT b AS url FROM reach)")}) t ON t.url = reach.b WHERE {_RULE} IN ('net/', 'example.com/de/')),
-judged AS (SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path, {_RULE} AS rule FROM ({_URL.format("pages")}))
+judged AS (SELECT page_id, {_SAME.format("url")} AS same, coalesce(host, '') AS host, coalesce(path, '') AS path, {_RULE} AS rule FROM ({_URL.format("pages")}))
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN url IN (SELECT a FROM tainted) THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN same IN (SELECT a FROM tainted) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparrowlake.llm import line_dedup
 from sparrowlake.llm.components import connected_components
 from sparrowlake.llm.decontaminate import decontaminate
 from sparrowlake.llm.exact_dedup import exact_dedup, sha256_digest
@@ -108,30 +109,33 @@ def brute_lines(rows):
         if t is None:
             out[i] = None
             continue
-        lines, chunks, now = t.split("\n"), [], []
-        for j, line in enumerate(lines):
-            now.append(line)
-            roll = sum(h(lines[j - k]) * 257**k for k in range(3) if j >= k)
-            if roll % 4 == 0 or j == len(lines) - 1:
-                chunks.append(now)
-                now = []
-        stay = []
-        for c in chunks:
-            body = "\n".join(c)
-            if len(c) >= 2 and body.replace("\n", " ").replace("\t", " ").strip(" "):
+        lines = t.split("\n")
+        hs = [h(x) for x in lines]
+        cuts = set()
+        for window, divisor, rest in ((1, 2, 0), (1, 2, 1), (2, 2, 0), (2, 2, 1), (1, 3, 0)):
+            begin = 0
+            for j in range(len(lines)):
+                if (hs[j] + (257 * hs[j - 1] if window == 2 and j else 0)) % divisor == rest or j == len(lines) - 1:
+                    cuts.add((begin, j + 1))
+                    begin = j + 1
+        gone = set()
+        for a, b in sorted(cuts):
+            body = "\n".join(lines[a:b])
+            if b - a >= 2 and body.replace("\n", " ").replace("\t", " ").replace("\r", " ").strip(" "):
                 if body in seen:
-                    continue
+                    gone |= set(range(a, b))
                 seen.add(body)
-            stay.append(body)
-        out[i] = "\n".join(stay)
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     return out
 
 
 def test_lines(spark, texts):
     many = texts + ["\n".join(t.split("\n") + ["tail", "more"]) for t in texts if t]
-    got = {r.doc_id: r.text for r in dedup_lines(table(spark, many)).collect()}
-    assert got == brute_lines(list(enumerate(many)))
-    out = dedup_lines(table(spark, many), details=True)
+    for digest in (line_dedup.sha256_digest, one_byte_digest):
+        got = {r.doc_id: r.text for r in dedup_lines(table(spark, many), digest=digest).collect()}
+        assert got == brute_lines(list(enumerate(many)))
+    out = dedup_lines(table(spark, many).withColumn("n_lines", F.lit("x")), details=True)
+    assert out.columns.count("n_lines") == 1 and out.agg(F.max("n_lines")).first()[0] > 5
     assert set(SCHEMA.replace(",", "").split()[::2]) <= set(out.columns)
     assert dedup_lines(table(spark, [])).count() == 0
     twins = dedup_lines(table(spark, ["a b\nc d\ne f\ng"] * 2, [None, None]))
@@ -321,6 +325,23 @@ def test_toxicity(spark):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_models_on_repeated_rows(spark):
+    """Rows that repeat an id or clash in names, and texts over the 4,096 words that are scored at once."""
+    r = random.Random(6)
+    words = [f"k{i}" for i in range(50)]
+    texts = [" ".join(["Awful!!" if i % 3 == 0 else "fine", *r.sample(words, 12)]) for i in range(90)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, y int").withColumn("text", F.lit("clash"))
+    many = docs.union(docs).union(docs.where("doc_id < 20"))
+    assert train_quality(many, labels, "y") == train_quality(docs, labels, "y")
+    a, b = train_toxicity(docs, labels, "y"), train_toxicity(many, labels, "y")
+    long = " ".join(["calm"] * 4090 + ["fine", "Awful!!", "end"] * 5 + ["calm"] * 5000)
+    some = table(spark, [*texts[:5], long, None, "", long])
+    scores = [sorted((x.doc_id, x.score) for x in score_toxicity(some, m).collect()) for m in (a, b)]
+    assert scores[0] == scores[1] and scores[0][5][1] == scores[0][8][1] and scores[0][6][1] == scores[0][7][1]
+    assert score_quality(many, train_quality(docs, labels, "y")).columns.count("score") == 1
+
+
 # -- 8
 
 
@@ -386,6 +407,26 @@ def test_urls(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_aliases(spark):
+    """Relative links, other spellings of one address, several links of a page; and the registered SQL on the same pages."""
+    import duckdb
+
+    from sparrowlake.llm import oracles
+
+    pages = [
+        ("HTTP://Q.org/a/b#top", '<link rel="alternate canonical" href="/a/c">'), ("http://q.org/a/c", '<link rel=canonical href="#x"><link rel=canonical href="d?x=1&amp;y=2">'),
+        ("http://q.org/a/d?x=1&y=2", '<meta content="3;URL=//BAD.net/z#f" http-equiv=refresh>'), ("http://r.org", '<link rel="canonical" href="e">'), ("http://r.org/e", '<link href="?p" rel="canonical">'),
+        ("http://r.org/e?p", '<link href="mailto:x@bad.net" rel="canonical">'), ("http://s.org/x", None), ("http://s.org/y", '<link rel="canonical" href="HTTP://S.org/x">'), ("https://example.com/de/k", '<link rel="canonical" href="http://s.org/x#1">'),
+        ("no address", '<link rel="canonical" href="http://bad.net/">'), (None, '<link rel="canonical" href="http://bad.net/">'), ("http://t.org/1", '<link rel="canonicalize" href="http://bad.net/">'),
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(df).collect()}
+    assert sorted(i for i, r in got.items() if r[3] == "block") == [0, 1, 2, 6, 7, 8]
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert {r[0]: r[1:] for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({oracles.OP9_URL_FILTER})").fetchall()} == got
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 90)]

@@ -80,3 +80,22 @@ def test_run_equals_brute_force(spark):
     got = sorted((r.doc_id, r.text, r.copy_no) for r in P.run(spark, SF).collect())
     assert got == want and len(got) > 50
     assert set(P.run(spark, SF).columns) == {*docs.columns, "copy_no"}
+
+
+ODD = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n ", "en", "a", 3), (4, "x " * 30_000, "en", "a", 60_000), (5, "same words in two rows here", "en", "a", 1), (5, "same words in two rows here", "en", "b", 1), (None, "no id", "en", "a", 5)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, k):
+    """Nulls, empty and very long texts, repeated rows, further columns, an empty table: no stage fails, and the columns hold."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(*x, "more", 1.5) for x in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, score double")
+    name, stage = P.STAGES[k]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"] + ["copy_no"] * (name == "mixing")
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert out.columns == columns and all(r.doc_id is None or 1 <= r.doc_id <= 5 for r in rows)
+    if name in ("line_dedup", "near_dedup", "decontamination"):  # nothing here repeats but the row with id 5, which is one document
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "5", "5", "None"]
+    assert stage(spark, docs.limit(0), SF).collect() == []
