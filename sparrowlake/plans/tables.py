@@ -204,6 +204,37 @@ def prune_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"))
 
 
+def _engine(spark: SparkSession, df: DataFrame, name: str, **options) -> Engine:  # noqa: ANN003
+    engine = Engine.from_warehouse(spark, scratch(spark, "warehouse").removeprefix("file://"), "demo")
+    engine.create_namespace("demo")
+    engine.create_table(name, df.schema, **options)
+    engine.insert(name, df)
+    return engine
+
+
+@query("SELECT l_returnflag, l_linenumber, count(*) AS n, 'demo.lineitem' AS source FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <> 2 GROUP BY l_returnflag, l_linenumber")
+def sql_prune_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, source(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), "lineitem", partition_by=["l_returnflag"])
+    return engine.sql("SELECT l_returnflag, l_linenumber, count(*) AS n, 'demo.lineitem' AS source FROM demo.lineitem WHERE l_returnflag = 'R' AND l_linenumber <> 2 GROUP BY l_returnflag, l_linenumber")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 100 AND 120 AND l_quantity > (SELECT avg(l_quantity) FROM lineitem WHERE l_orderkey < 50) GROUP BY l_orderkey")
+def sql_prune_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, source(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").repartitionByRange(8, "l_orderkey"), "lineitem")
+    return engine.sql("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 100 AND 120 AND l_quantity > (SELECT avg(l_quantity) FROM lineitem WHERE l_orderkey < 50) GROUP BY l_orderkey")
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1")
+def sql_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_warehouse(spark, scratch(spark, "warehouse").removeprefix("file://"), "demo")
+    engine.create_namespace("demo")
+    engine.sql("CREATE TABLE demo.region (r_regionkey INT, r_name STRING) PARTITIONED BY (bucket(4, r_regionkey))")
+    engine.insert("region", source(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS INT) AS r_regionkey", "r_name"))
+    engine.sql(f"CREATE EXTERNAL TABLE fixed LOCATION '{engine.open_table('region').metadata_path}'")
+    engine.sql("DROP TABLE IF EXISTS demo.nothing")
+    return engine.sql("SELECT r_regionkey, r_name FROM fixed WHERE r_regionkey > 1")
+
+
 def _narrowed(spark: SparkSession, sf_dir: str, dimension: DataFrame) -> DataFrame:
     fact = filled(spark, source(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").repartitionByRange(8, "l_orderkey"), "lineitem")
     edge = Edge(dimension, "l_orderkey", "o_orderkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import time
-from contextlib import redirect_stdout
+from contextlib import redirect_stdout, suppress
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from sparrowlake import sqlprep
 from sparrowlake.config import Config, ConfigError, load
 from sparrowlake.functions.dialect import translate
+from sparrowlake.operators.predicate import Always, Predicate
+from sparrowlake.pushdown import filters, stand_in
 from sparrowlake.sources.catalog import Catalog, CatalogError, MemoryCatalog, RestCatalog, WarehouseCatalog, match_name
 from sparrowlake.sources.table import SnapshotTable, TableError
 
@@ -178,15 +180,16 @@ class Engine:
     # -- SQL
 
     def _register(self, sql: str) -> str:
-        """Make views of the tables that the statement names, at their current snapshots; the statement with names Spark finds."""
+        """Make views of the tables that the statement names, at their current snapshots and without files that its filters exclude; the statement with names Spark finds."""
         sql = sqlprep.quote_metadata_tables(translate(sql))
         pieces = sqlprep.outside_quotes(sql)
         words = {w.lower() for quoted, x in pieces if not quoted or x[:1] == "`" for w in re.findall(r"[\w$]+", x)}
+        names: dict[str, str] = {}
         if "information_schema" in words:
             for view, df in zip(("tables", "columns"), self.information_schema(), strict=True):
                 df.createOrReplaceTempView(f"information_schema_{view}")
-            sql = re.sub(r"\binformation_schema\.(tables|columns)\b", r"information_schema_\1", sql, flags=re.IGNORECASE)
-        names: dict[str, str] = {}
+                names[rf"information_schema\.{view}()"] = f"information_schema_{view}"
+        views: dict[str, SnapshotTable] = {}
         for label, catalog in self.catalogs.items():
             for namespace in catalog.list_namespaces():
                 for t in catalog.list_tables(namespace):
@@ -194,25 +197,36 @@ class Engine:
                         continue
                     own = catalog is self.catalog and namespace.lower() == self.default_schema.lower()
                     view = t.lower() if own else f"{label}__{namespace}__{t}".lower()
-                    self._views(view, catalog.load_table(namespace, t), words, t.lower())
+                    self._views(view, catalog.load_table(namespace, t), words, t.lower(), views)
                     for prefix in ([rf"{label}\.{namespace}\."] + ([rf"{namespace}\."] if catalog is self.catalog else [])):
                         names[prefix + rf"`?{re.escape(t)}(\$snapshots|\$manifests)?`?"] = view
         for name, found in self._external.items():
             if name in words:
-                self._views(name, found, words, name)
+                self._views(name, found, words, name, views)
         for pattern, view in sorted(names.items(), key=lambda x: -len(x[0])):
-            sql = "".join(
-                x if quoted and x[:1] != "`" else x for quoted, x in [(False, re.sub(rf"(?<![\w.`]){pattern}(?![\w$`])", lambda m, v=view: f"`{v}{m[1] or ''}`", sql, flags=re.IGNORECASE))]
-            )
+            sql = sqlprep.renamed(sql, pattern, view)
+        self._prune(sql, views)
         return sql
 
-    def _views(self, view: str, table: SnapshotTable, words: set[str], name: str) -> None:
+    def _views(self, view: str, table: SnapshotTable, words: set[str], name: str, views: dict[str, SnapshotTable]) -> None:
         if f"{name}$snapshots" in words:
             table.snapshots().createOrReplaceTempView(f"`{view}$snapshots`")
         if f"{name}$manifests" in words:
             table.manifests().createOrReplaceTempView(f"`{view}$manifests`")
         if name in words or f"{name}$snapshots" not in words:
-            df = table.to_df()
+            views[view] = table.refresh()
+
+    def _prune(self, sql: str, views: dict[str, SnapshotTable]) -> None:
+        """Views of the tables' scans; which files they read follows from the statement's own filters."""
+        lower = lambda shape: T.StructType([T.StructField(f.name.lower(), f.dataType, f.nullable, f.metadata) for f in shape.fields])
+        found: dict[str, Predicate] = {}
+        if views:
+            for view, table in views.items():
+                stand_in(self.spark, lower(table.scan().schema.spark()), view).createOrReplaceTempView(view)
+            with suppress(AnalysisException, ParseException):  # the statement itself says what is wrong with it
+                found = filters(self.spark.sql(sql.rstrip().rstrip(";")))
+        for view, table in views.items():
+            df = table.scan().where(found.get(view, Always(True))).to_df()
             df.toDF(*[c.lower() for c in df.columns]).createOrReplaceTempView(view)
 
     def sql(self, sql: str) -> DataFrame:
@@ -228,12 +242,34 @@ class Engine:
                 if len(wanted) != len(rows.columns):
                     raise EngineError(f"INSERT gives {len(rows.columns)} columns for {len(wanted)}")
                 return self.insert(name, rows.toDF(*wanted))
+            if ddl := sqlprep.parse_ddl(sql):
+                return self._define(ddl)
             if re.match(r"\s*insert\s+overwrite\b|\s*(delete|update|merge)\b", sql, re.IGNORECASE):
                 raise EngineError("only INSERT INTO changes tables by SQL; see SnapshotTable for deletes")
             return self.spark.sql(self._register(sql).rstrip().rstrip(";"))
         except (AnalysisException, ParseException, CatalogError) as e:
             raise EngineError(sqlprep.hint(str(e))) from e
 
+    def _define(self, ddl: sqlprep.Definition) -> DataFrame:
+        """CREATE TABLE, CREATE EXTERNAL TABLE and DROP TABLE; no rows."""
+        if ddl.kind == "drop":
+            if self._external.pop(ddl.name.lower(), None) is None:
+                try:
+                    dropped = self.drop_table(ddl.name)
+                except CatalogError:
+                    dropped = False
+                if not dropped and not ddl.lenient:
+                    raise EngineError(sqlprep.hint(f"table {ddl.name} not found"))
+        elif ddl.kind == "external":
+            self.register_external(ddl.name, ddl.location or "")
+        else:
+            try:
+                self.create_table(ddl.name, ddl.columns, partition_by=ddl.partition_by)
+            except (CatalogError, TableError):
+                if not ddl.lenient:
+                    raise
+        return self.spark.createDataFrame([], "count long")
+
     def query(self, sql: str) -> QueryResult:
         began = time.perf_counter()
         df = self.sql(sql)
