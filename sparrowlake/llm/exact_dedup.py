@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowlake.llm.common import drop, forget, fresh_path, join_counted, written
+from sparrowlake.llm.common import drop, forget, fresh_path, written
 
 #: Members of a group that are compared with one copy of the kept text.
 ROWS_PER_SALT = 1000
@@ -91,11 +91,11 @@ def exact_dedup(
     state = stream_state(spark, path, id_col, text_col, digest, files_per_batch)
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
     hits = state.where("n > 1")
-    grouped = join_counted(rows.drop("body"), hits, "digest", "n", "left").select(
+    grouped = rows.drop("body").join(hits, "digest", "left").select(
         "at", "digest", F.coalesce("keep", "at").alias("keep"), F.coalesce("n", F.lit(1)).alias("n")
     )
 
-    members_table = written(join_counted(rows, hits, "digest", "n"), "exact-members")
+    members_table = written(rows.join(hits, "digest"), "exact-members")
     members = members_table.withColumn("salts", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int"))
     kept = members.where(F.col("at") == F.col("keep")).select("digest", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = members.where(F.col("at") != F.col("keep")).withColumn("salt", F.pmod(F.hash("at"), "salts"))
