@@ -17,7 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 @dataclass(frozen=True)
 class Plan:
     spark: str
-    oracle: str | None
+    oracle: str
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, self.spark)
@@ -32,11 +32,10 @@ def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
 
 
 PLANS: dict[str, Plan] = {}
-ROWS_ONLY = "rows only"
 
 
 def plan(name: str, spark: str, oracle: str | None = None) -> None:
-    PLANS[name] = Plan(spark.strip(), None if oracle is ROWS_ONLY else (oracle or spark).strip())
+    PLANS[name] = Plan(spark.strip(), (oracle or spark).strip())
 
 
 def money(x: str) -> str:
@@ -126,6 +125,7 @@ plan("approx_percentile", "SELECT l_returnflag, approx_percentile(l_quantity, 0.
 plan("array_agg", "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), '|') AS names, array_size(array_agg(n_name)) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), '|') AS names, CAST(len(array_agg(n_name)) AS INT) AS n FROM nation GROUP BY n_regionkey")
 plan("string_agg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 plan("min_max_by", "SELECT o_orderstatus, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, arg_max(o_orderkey, o_totalprice) AS dearest, arg_min(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_orderstatus")
+plan("agg_first_last_nth", "SELECT o_orderstatus, first_value(o_orderkey) FILTER (WHERE r = 1) AS lo, last_value(o_orderkey) FILTER (WHERE back = 1) AS hi, first_value(o_orderkey) FILTER (WHERE r = 3) AS third FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey DESC) AS back FROM orders) t GROUP BY o_orderstatus", "SELECT o_orderstatus, first(o_orderkey) FILTER (WHERE r = 1) AS lo, last(o_orderkey) FILTER (WHERE back = 1) AS hi, first(o_orderkey) FILTER (WHERE r = 3) AS third FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey DESC) AS back FROM orders) t GROUP BY o_orderstatus")
 plan("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 plan("group_by_all_expr", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)", "SELECT CAST(year(o_orderdate) AS INT) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)")
 
@@ -166,7 +166,7 @@ plan(
     "SELECT c_custkey, CAST(length(c_name) AS BIGINT) AS n, left(c_name, 3) AS l, right(c_name, 3) AS r, lpad(c_name, 25, '*') AS lp, rpad(c_name, 25, '*') AS rp, reverse(c_name) AS rev, substr(c_name, 2, 4) AS s, CAST(instr(c_name, '0') AS BIGINT) AS p, translate(c_name, '012', 'abc') AS t, substring_index(c_name, '0', 1) AS si FROM customer",
     "SELECT c_custkey, CAST(length(c_name) AS BIGINT) AS n, left(c_name, 3) AS l, right(c_name, 3) AS r, lpad(c_name, 25, '*') AS lp, rpad(c_name, 25, '*') AS rp, reverse(c_name) AS rev, substr(c_name, 2, 4) AS s, CAST(strpos(c_name, '0') AS BIGINT) AS p, translate(c_name, '012', 'abc') AS t, split_part(c_name, '0', 1) AS si FROM customer",
 )
-plan("fn_initcap", "SELECT n_nationkey, initcap(lower(n_name)) AS x, CAST(find_in_set('b', 'a,b,c') AS BIGINT) AS f FROM nation", ROWS_ONLY)
+plan("fn_initcap", "SELECT n_nationkey, initcap(lower(n_name)) AS x, CAST(find_in_set('b', 'a,b,c') AS BIGINT) AS f FROM nation", "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS x, CAST(list_position(string_split('a,b,c', ','), 'b') AS BIGINT) AS f FROM nation")
 plan(
     "fn_regex",
     "SELECT c_custkey, c_name RLIKE '[0-9]+1$' AS m, regexp_extract(c_name, '([0-9]+)', 1) AS d, regexp_replace(c_name, '[0-9]', 'x') AS r, CAST(regexp_count(c_name, '0') AS BIGINT) AS n FROM customer",
@@ -243,4 +243,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: p.oracle for k, p in PLANS.items() if p.oracle}
+    return {k: p.oracle for k, p in PLANS.items()}

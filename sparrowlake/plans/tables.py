@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparrowlake.operators.predicate import col
 from sparrowlake.operators.star import Edge, bounds, star_join
 from sparrowlake.operators.transforms import Transform
-from sparrowlake.session import Engine, demo
+from sparrowlake.session import Engine, SessionOptions, demo
 from sparrowlake.sources.scratch import scratch
 from sparrowlake.sources.table import SnapshotTable
 
@@ -172,14 +172,51 @@ array_to_string(make_array(1, 2, n_nationkey), '-') AS j, sha256(n_name) AS h, a
     )
 
 
-@query()
+@query(
+    """SELECT c_custkey, regexp_extract(c_name, '#0*([0-9]+)', 1) AS digits, 'no' AS missed, CAST(c_custkey AS DOUBLE) AS d, CAST(c_acctbal AS DECIMAL(12, 1)) AS dec, sha256(c_name) AS h, md5(c_name) AS m,
+strftime(TIMESTAMP '2024-03-05 07:08:09' + INTERVAL 1 DAY * c_custkey, 'on %Y-%m-%d at %H:%M') AS day, TIMESTAMP '1970-01-01 00:00:00' + INTERVAL 1 SECOND * (c_custkey * 100000) AS at FROM customer"""
+)
+def fn_dialect_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, source(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "customer")
+    return engine.sql(
+        """SELECT c_custkey, regexp_match(c_name, '#0*([0-9]+)')[0] AS digits, CASE WHEN regexp_match(c_name, 'nothing like it') IS NULL THEN 'no' END AS missed, arrow_cast(c_custkey, 'Float64') AS d,
+arrow_cast(c_acctbal, 'Decimal128(12, 1)') AS dec, lower(hex(digest(c_name, 'sha256'))) AS h, lower(hex(digest(c_name, 'md5'))) AS m,
+to_char(TIMESTAMP_NTZ '2024-03-05 07:08:09' + make_dt_interval(c_custkey), 'on %Y-%m-%d at %H:%M') AS day, from_unixtime(c_custkey * 100000) AS at FROM customer"""
+    )
+
+
+@query("SELECT 'append' AS operation, parent_id IS NULL AS is_first, records FROM (VALUES (NULL, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')), (1, (SELECT count(*) FROM orders))) t(parent_id, records)")
 def meta_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filled(spark, orders(spark, sf_dir), "orders").snapshots()
+    df = orders(spark, sf_dir)
+    table = filled(spark, df.where("o_orderstatus = 'F'"), "orders")
+    table.append(df.where("o_orderstatus <> 'F' OR o_orderstatus IS NULL"))
+    return table.snapshots().selectExpr("operation", "parent_id IS NULL AS is_first", "CAST(summary['total-records'] AS BIGINT) AS records")
 
 
-@query()
+@query("SELECT CAST(0 AS INT) AS content, CAST(0 AS INT) AS deletes, min(o_orderstatus) AS lo, max(o_orderstatus) AS hi, count(*) FILTER (WHERE o_orderstatus IS NULL) > 0 AS has_null FROM orders")
 def meta_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filled(spark, orders(spark, sf_dir), "orders", partition_by=["o_orderstatus"]).manifests()
+    found = filled(spark, orders(spark, sf_dir), "orders", partition_by=["o_orderstatus"]).manifests()
+    part = "partition_summaries[0]"
+    return found.selectExpr("content", "added_delete_files_count AS deletes", f"{part}.lower_bound AS lo", f"{part}.upper_bound AS hi", f"{part}.contains_null AS has_null")
+
+
+@query("SELECT lower(column_name) AS column_name, CAST(pos AS INT) AS ordinal_position, 'YES' AS is_nullable FROM (VALUES (1, 'R_REGIONKEY'), (2, 'R_NAME')) t(pos, column_name)")
+def information_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_warehouse(spark, scratch(spark, "warehouse").removeprefix("file://"), "demo")
+    engine.create_namespace("demo")
+    engine.sql("CREATE TABLE demo.region (R_REGIONKEY INT, R_NAME STRING)")
+    return engine.sql("SELECT column_name, ordinal_position, is_nullable FROM information_schema.columns WHERE table_name = 'region'")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
+def copy_and_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows out to CSV, JSON and ORC and back."""
+    rows = source(spark, sf_dir, "customer").select("c_custkey", "c_name").where("c_custkey % 2 = 0")
+    for kind in ("csv", "json", "orc"):
+        folder = scratch(spark, f"copy-{kind}")
+        rows.write.format(kind).mode("overwrite").save(folder)
+        rows = spark.read.schema(rows.schema).format(kind).load(folder)
+    return rows
 
 
 @query("SELECT 'customers' AS table_name")
@@ -251,6 +288,21 @@ def fk_bounds_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _narrowed(spark, sf_dir, source(spark, sf_dir, "orders").where("o_custkey = 7"))
 
 
+STAR = "SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_custkey BETWEEN 5 AND 9 AND o_orderstatus = 'F' GROUP BY c_mktsegment"
+
+
+@query(STAR)
+def sql_star_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' keys narrow the orders, the orders' keys the lines, before any file is read for the join."""
+    engine = Engine.from_warehouse(spark, scratch(spark, "warehouse").removeprefix("file://"), "demo", options=SessionOptions(key_bounds_rows=0))
+    engine.create_namespace("demo")
+    for name, columns, key in (("lineitem", ["l_orderkey", "l_extendedprice"], "l_orderkey"), ("orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_custkey"), ("customer", ["c_custkey", "c_mktsegment"], "c_custkey")):
+        df = source(spark, sf_dir, name).select(*columns).repartitionByRange(8, key)
+        engine.create_table(name, df.schema)
+        engine.insert(name, df)
+    return engine.sql(STAR)
+
+
 @query(
     """SELECT o_orderkey, CAST(floor(o_orderkey / 10.0) * 10 AS BIGINT) AS truncated, CAST(year(o_orderdate) - 1970 AS INT) AS y, CAST((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS INT) AS m,
 CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INT) AS d, CAST(date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', o_orderdate) AS INT) AS h FROM orders"""

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from sparrowlake import sqlprep
 from sparrowlake.config import Config, ConfigError, load
 from sparrowlake.functions.dialect import translate
-from sparrowlake.operators.predicate import Always, Predicate
-from sparrowlake.pushdown import filters, stand_in
+from sparrowlake.operators.predicate import IN_LIMIT, Always, Predicate, Test, conjuncts
+from sparrowlake.operators.star import LARGE_ROWS, key_bounds
+from sparrowlake.pushdown import KeyEdge, edges, filters, stand_in
 from sparrowlake.sources.catalog import Catalog, CatalogError, MemoryCatalog, RestCatalog, WarehouseCatalog, match_name
 from sparrowlake.sources.table import SnapshotTable, TableError
 
@@ -32,6 +33,8 @@ class SessionOptions:
     repartition_file_scans: bool = True
     join_dynamic_filters: bool = True
     repartition_joins: bool = True
+    #: tables with fewer rows to read are not narrowed by the keys of their joins
+    key_bounds_rows: int = LARGE_ROWS
 
     def settings(self) -> dict[str, str]:
         out = {"spark.sql.adaptive.enabled": "true", "spark.sql.optimizer.dynamicPartitionPruning.enabled": str(self.join_dynamic_filters).lower(), "spark.sql.optimizer.runtime.bloomFilter.enabled": str(self.join_dynamic_filters).lower()}
@@ -224,11 +227,25 @@ class Engine:
             for view, table in views.items():
                 stand_in(self.spark, lower(table.scan().schema.spark()), view).createOrReplaceTempView(view)
             with suppress(AnalysisException, ParseException):  # the statement itself says what is wrong with it
-                found = filters(self.spark.sql(sql.rstrip().rstrip(";")))
+                planned = self.spark.sql(sql.rstrip().rstrip(";"))
+                found = filters(planned)
+                if self.options.join_dynamic_filters:
+                    found = self._narrowed(views, found, edges(planned))
         for view, table in views.items():
             df = table.scan().where(found.get(view, Always(True))).to_df()
             df.toDF(*[c.lower() for c in df.columns]).createOrReplaceTempView(view)
 
+    def _narrowed(self, views: dict[str, SnapshotTable], found: dict[str, Predicate], joins: list[KeyEdge]) -> dict[str, Predicate]:
+        """The filters, and for large tables the bounds of the keys of small, filtered tables that they are joined to; smallest first."""
+        scan = lambda view: views[view].scan().where(found.get(view, Always(True)))
+        rows = {view: sum(t.file.rows for t in scan(view).plan()) for view in {v for e in joins for v in (e.fact, e.dimension)}}
+        found = dict(found)
+        for e in sorted(joins, key=lambda e: rows[e.dimension]):
+            filtered = any(not isinstance(p, Test) or p.op != "not_null" for p in conjuncts(found.get(e.dimension, Always(True))) if p != Always(True))
+            if filtered and rows[e.fact] >= self.options.key_bounds_rows and rows[e.dimension] <= min(LARGE_ROWS, rows[e.fact]):
+                found[e.fact] = found.get(e.fact, Always(True)) & key_bounds(scan(e.dimension).to_df(), e.dimension_key, e.fact_key, most_keys=IN_LIMIT)
+        return found
+
     def sql(self, sql: str) -> DataFrame:
         is_show, namespace = sqlprep.parse_show_tables(sql)
         if is_show:

@@ -30,6 +30,9 @@ MANIFESTS_SCHEMA = (
     "partition_summaries array<struct<contains_null: boolean not null, contains_nan: boolean, lower_bound: string, upper_bound: string>> not null"
 )
 
+#: Bounds of strings are cut after so many characters, upper ones rounded up.
+BOUND_CHARS = 16
+
 
 class CommitFailed(RuntimeError):
     pass
@@ -184,6 +187,19 @@ def show(p: Predicate) -> str:
     return f"{p.column} {words.get(p.op, p.op)}{tail}"
 
 
+def _above(bound: Row) -> str | None:
+    """What no string with this beginning exceeds: the beginning itself if it is whole, else the next greater one."""
+    head = bound.head
+    if head is None or not bound.cut:
+        return head
+    while head:
+        n = ord(head[-1]) + 1
+        if n <= 0x10FFFF:
+            return head[:-1] + chr(0xE000 if n == 0xD800 else n)
+        head = head[:-1]
+    return None
+
+
 def _plain_path(path: Column) -> Column:
     """As paths are stored: without file: and with one leading slash."""
     return F.url_decode(F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"\+", "%2B"))
@@ -406,7 +422,10 @@ class SnapshotTable:
             if f.type in ("float", "double"):
                 aggs.append(F.count_if(F.isnan(c)).alias(f"nans_{f.id}"))
                 c = F.when(~F.isnan(c), c)
-            if f.type == "boolean" or not f.type.startswith(("binary", "fixed")):
+            if f.type == "string":  # whole texts stay out of manifests and of the driver
+                head = F.substring(c, 1, BOUND_CHARS)
+                aggs += [F.min(head).alias(f"lower_{f.id}"), F.max(F.struct(head.alias("head"), (F.length(c) > BOUND_CHARS).alias("cut"))).alias(f"upper_{f.id}")]
+            elif f.type == "boolean" or not f.type.startswith(("binary", "fixed")):
                 aggs += [F.min(c).alias(f"lower_{f.id}"), F.max(c).alias(f"upper_{f.id}")]
         parts = []
         for p in spec.fields:
@@ -425,6 +444,8 @@ class SnapshotTable:
                         c[k] = x[f"{k}_{i}"]
                 if kind not in ("float", "double"):
                     c["nans"] = 0
+                if kind == "string":
+                    c["upper"] = _above(x[f"upper_{i}"])
                 if kind == "timestamptz":  # as instants the session's zone would shift them
                     c.pop("lower", None), c.pop("upper", None)
                 columns[i] = c
@@ -442,12 +463,14 @@ class SnapshotTable:
         snapshot_id = self.metadata.new_snapshot_id()
         stamp = uuid.uuid4().hex
         base = self.metadata.location
+        # files of earlier commits lie in other folders; only an attempt of this very commit may have added these
+        began = self.metadata.raw.get("last-sequence-number", 0)
 
         def change(meta: TableMetadata, raw: dict) -> None:
             parent = meta.current_snapshot
             known: list[dict] = list(_lines(self.io, parent["manifest-list"])) if parent else []
             if operation == "append" and raw["properties"].get("commit.check-duplicates", "true") == "true":
-                taken = {x["path"] for m in known for x in _lines(self.io, m["manifest_path"])}
+                taken = {x["path"] for m in map(Manifest.from_json, known) if m.sequence > began for x in _lines(self.io, m.path)}
                 if both := taken & {f.path for f in files}:
                     raise TableError(f"files are in the table already: {sorted(both)[:3]}")
             if any(f.spec_id not in meta.specs for f in files):

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from sparrowlake.operators.predicate import Always, col, to_column
 from sparrowlake.operators.star import Edge, bounds, key_bounds
 from sparrowlake.operators.transforms import Transform
-from sparrowlake.session import Engine, EngineError, demo
+from sparrowlake.session import Engine, EngineError, SessionOptions, demo
 from sparrowlake.sources.catalog import CatalogError, MemoryCatalog, WarehouseCatalog
 from sparrowlake.sources.table import SnapshotTable, TableError
 
@@ -251,3 +251,59 @@ def test_sql_ddl(spark, tmp_path):
     for wrong in ("DROP TABLE t", "SELECT * FROM t"):
         with pytest.raises(Exception):
             engine.sql(wrong)
+
+
+LONG = ["a" * 20, "a" * 20 + "b", "a" * 16, "b" * 15 + "퟿" + "x", "\U0010ffff" * 20, "", None, "ab"]
+
+
+@pytest.mark.parametrize("p", [col("s", op, v) for v in LONG if v is not None for op in ("=", "<", "<=", ">", ">=", "!=", "starts_with", "not_starts_with")], ids=repr)
+def test_bounds_of_long_strings_are_cut_and_safe(long_table, p):
+    got = {r.i for r in long_table.scan().where(p).to_df().collect()}
+    assert got == {r.i for r in long_table.to_df().where(to_column(p)).collect()}
+
+
+@pytest.fixture(scope="module")
+def long_table(spark, tmp_path_factory):
+    df = spark.createDataFrame(list(enumerate(LONG)), "i int, s string")
+    table = SnapshotTable.create(spark, "t", str(tmp_path_factory.mktemp("long")) + "/t", df.schema)
+    for i in range(len(LONG)):  # a file each, so that every bound is cut on its own
+        table.append(df.where(F.col("i") == i))
+    files = [t.file for t in table.scan().plan()]
+    assert len(files) == len(LONG) and all(len(b) <= 16 for f in files for b in (f.columns[2].get("lower"), f.columns[2].get("upper")) if b)
+    return table
+
+
+@pytest.fixture
+def star(spark, folder):
+    engine = Engine.from_warehouse(spark, folder, "demo", options=SessionOptions(key_bounds_rows=0))
+    engine.create_namespace("demo")
+    fact = spark.range(4000).selectExpr("id", "CASE WHEN id % 50 <> 7 THEN id DIV 10 END AS k", "id % 3 AS v").repartitionByRange(8, "id")
+    dim = spark.range(420).selectExpr("id AS k", "concat('n', id) AS name", "id % 2 AS half", "id DIV 100 AS g")
+    for name, df in (("fact", fact), ("dim", dim)):
+        engine.create_table(name, df.schema)
+        engine.insert(name, df)
+        df.createOrReplaceTempView(f"plain_{name}")
+    return engine
+
+
+@pytest.mark.parametrize(
+    ("narrows", "sql"),
+    [
+        (True, "SELECT f.id, d.name FROM {fact} f JOIN {dim} d ON f.k = d.k WHERE d.name = 'n17'"),
+        (True, "SELECT f.id, d.name FROM {fact} f JOIN {dim} d ON f.k = d.k WHERE d.g = 2 AND f.v = 1"),
+        (True, "SELECT id FROM {fact} WHERE k IN (SELECT k FROM {dim} WHERE g = 3)"),
+        (True, "SELECT count(*) AS n, d.half FROM (SELECT k + 0 AS other, k FROM {fact}) f, {dim} d WHERE d.k = f.k AND d.name = 'missing' GROUP BY d.half"),
+        (False, "SELECT f.id, d.name FROM {fact} f LEFT JOIN {dim} d ON f.k = d.k AND d.name = 'n17'"),
+        (False, "SELECT id FROM {fact} f WHERE NOT EXISTS (SELECT 1 FROM {dim} d WHERE d.k = f.k AND d.name = 'n17')"),
+        (False, "SELECT a.id, b.id AS other FROM {fact} a JOIN {dim} d ON a.k = d.k JOIN {fact} b ON b.id = a.id + 1 WHERE d.name = 'n17'"),
+        (False, "SELECT u.x, d.name FROM (SELECT k AS x FROM {fact} UNION ALL SELECT id FROM {fact}) u JOIN {dim} d ON u.x = d.k WHERE d.name = 'n17'"),
+        (False, "SELECT f.id FROM (SELECT id, k, row_number() OVER (ORDER BY id) AS r FROM {fact}) f JOIN {dim} d ON f.k = d.k WHERE d.name = 'n17' AND f.r > 5"),
+        (False, "SELECT f.id FROM {fact} f JOIN {dim} d ON f.k = d.k"),
+    ],
+)
+def test_join_keys_narrow_the_fact(spark, star, narrows, sql):
+    got = star.sql(sql.format(fact="fact", dim="dim"))
+    assert keys(got) == keys(spark.sql(sql.format(fact="plain_fact", dim="plain_dim")))
+    paths = [t.file.path for t in star.open_table("fact").scan().plan()]
+    read = [p for p in paths if any(f.endswith(p.rpartition("/")[2]) for f in got.inputFiles())]
+    assert (len(read) < len(paths)) == narrows
