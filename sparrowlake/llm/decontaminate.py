@@ -95,9 +95,10 @@ def decontaminate(
     covered = lambda s: F.aggregate(
         s, zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["upto"], x["start"]))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")), lambda a: a["n"]
     )
-    by_doc = found.groupBy("key").agg(spans.alias("spans"), F.collect_set("wid").alias("wids"))
-    named = by_doc.select("key", F.explode("wids").alias("wid")).join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    per_doc = by_doc.join(named, "key").select(F.col("key").alias("_dc_key"), covered(F.col("spans")).alias("_dc_hit"), F.col("items").alias("_dc_items"))
+    # found is read once: each window of a document carries the document's hits along to its items
+    by_doc = found.groupBy("key").agg(spans.alias("spans"), F.collect_set("wid").alias("wids")).select("key", covered(F.col("spans")).alias("hit"), F.explode("wids").alias("wid"))
+    named = by_doc.join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.first("hit").alias("_dc_hit"), F.array_sort(F.collect_set("item")).alias("_dc_items"))
+    per_doc = named.withColumnRenamed("key", "_dc_key")
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
     base = docs.select(*[F.col(f"`{c}`") for c in own], F.size(words(F.col(text_col))).cast("long").alias("n_words"), row_key(id_col, text_col).alias("_dc_key"))
     return base.join(per_doc, "_dc_key", "left").select(
