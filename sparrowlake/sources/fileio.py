@@ -38,25 +38,29 @@ class FileIO:
         return "://" not in path
 
     def read(self, path: str) -> str:
+        return self.read_bytes(path).decode()
+
+    def read_bytes(self, path: str) -> bytes:
         path = resolve(path)
         if self._local(path):
-            with open(path, encoding="utf-8") as f:
+            with open(path, "rb") as f:
                 return f.read()
         fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> None:
+    def create(self, path: str, content: str | bytes) -> None:
         """Write a new file; AlreadyExists if there is one. This is what decides between concurrent commits."""
         path = resolve(path)
+        data = content.encode() if isinstance(content, str) else content
         if self._local(path):
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            draft = f"{path}.{os.getpid()}.{id(text)}.tmp"
-            with open(draft, "w", encoding="utf-8") as f:
-                f.write(text)
+            draft = f"{path}.{os.getpid()}.{id(data)}.tmp"
+            with open(draft, "wb") as f:
+                f.write(data)
                 f.flush()
                 os.fsync(f.fileno())
             try:
@@ -71,7 +75,7 @@ class FileIO:
             raise AlreadyExists(path)
         stream = fs.create(p, False)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(data))
         finally:
             stream.close()
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 import time
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.operators.predicate import Always, Predicate, bind, may_match, project, to_column, without_not
+from sparrowlake.operators.transforms import Transform
+from sparrowlake.sources import avro, manifests
 from sparrowlake.sources.fileio import AlreadyExists, FileIO, resolve
-from sparrowlake.sources.metadata import DATA, EQUALITY_DELETES, POSITION_DELETES, DataFile, Manifest, MetadataError, PartitionSpec, TableMetadata, now_ms, summarise
+from sparrowlake.sources.metadata import DATA, EQUALITY_DELETES, POSITION_DELETES, DataFile, Manifest, MetadataError, PartitionSpec, TableMetadata, now_ms, sort_orders, summarise
 from sparrowlake.sources.schema import Schema, field_to_spark
 
 #: Reads by field id: a renamed column is found, a column that a file lacks is null.
@@ -30,10 +33,17 @@ MANIFESTS_SCHEMA = (
     "partition_summaries array<struct<contains_null: boolean not null, contains_nan: boolean, lower_bound: string, upper_bound: string>> not null"
 )
 
+#: Field ids of the columns of positional deletes.
+PATH_ID, POSITION_ID = 2147483546, 2147483545
+
 #: Bounds of strings are cut after so many characters, upper ones rounded up.
 BOUND_CHARS = 16
 
 
+#: In place of a spec id: the spec without fields, whose deletes reach every partition.
+EVERYWHERE = -1
+
+
 class CommitFailed(RuntimeError):
     pass
 
@@ -42,10 +52,32 @@ class TableError(ValueError):
     pass
 
 
-@lru_cache(maxsize=4096)
-def _lines(io: FileIO, path: str) -> tuple[dict, ...]:
-    """Entries of a manifest or manifest list; these files never change."""
-    return tuple(json.loads(line) for line in io.read(path).splitlines())
+#: Manifests and their lists never change; what was read stays while the files together are no larger.
+CACHE_BYTES = 32_000_000
+_CACHE: OrderedDict[str, tuple[int, dict[str, str] | None, list[dict]]] = OrderedDict()
+
+
+def _records(io: FileIO, path: str) -> tuple[dict[str, str] | None, list[dict]]:
+    """What an Avro file says about itself, and its records; lines of JSON, as earlier versions wrote, say nothing."""
+    if path in _CACHE:
+        _CACHE.move_to_end(path)
+        return _CACHE[path][1:]
+    data = io.read_bytes(path)
+    about, records = avro.load(data) if data[:4] == avro.MAGIC else (None, [json.loads(line) for line in data.decode().splitlines()])
+    _CACHE[path] = (len(data), about, records)
+    while len(_CACHE) > 1 and sum(size for size, _, _ in _CACHE.values()) > CACHE_BYTES:
+        _CACHE.popitem(last=False)
+    return about, records
+
+
+def _listed(io: FileIO, path: str, meta: TableMetadata) -> list[Manifest]:
+    about, records = _records(io, resolve(path))
+    return [Manifest.from_json(x) for x in records] if about is None else manifests.load_list(records, meta)
+
+
+def _files(io: FileIO, manifest: Manifest, meta: TableMetadata) -> list[DataFile]:
+    about, records = _records(io, manifest.path)
+    return [DataFile.from_json(x) for x in records] if about is None else manifests.load_entries(about, records, manifest, meta)
 
 
 @dataclass(frozen=True)
@@ -110,14 +142,12 @@ class TableScan:
         predicate = without_not(bind(self.predicate, self.schema))
         data: list[DataFile] = []
         deletes: list[DataFile] = []
-        for entry in _lines(self.table.io, snapshot["manifest-list"]):
-            manifest = Manifest.from_json(entry)
+        for manifest in self.table.listed(snapshot):
             spec = self.table.metadata.specs[manifest.spec_id]
             implied = _implied(predicate, spec)
             if manifest.content == DATA and self.prune and not may_match(implied, manifest.stats()):
                 continue
-            for x in _lines(self.table.io, manifest.path):
-                f = DataFile.from_json(x)
+            for f in _files(self.table.io, manifest, self.table.metadata):
                 if f.content != DATA:
                     deletes.append(f)
                 elif not self.prune or (may_match(implied, f.partition_stats()) and may_match(predicate, f.stats()) and f.rows > 0):
@@ -220,6 +250,24 @@ def _applies(delete: DataFile, data: DataFile) -> bool:
     return delete.sequence > data.sequence and (not delete.partition or (delete.spec_id == data.spec_id and delete.partition == data.partition))
 
 
+def _sort_fields(schema: Schema, columns: list[str | tuple[str, ...]]) -> list[dict]:
+    out = []
+    for c in columns:
+        name, direction, nulls = ((c,) if isinstance(c, str) else tuple(c)) + (None,) * (2 if isinstance(c, str) else 3 - len(c))
+        direction = direction or "asc"
+        nulls = nulls or ("nulls-first" if direction == "asc" else "nulls-last")
+        if direction not in ("asc", "desc") or nulls not in ("nulls-first", "nulls-last"):
+            raise TableError(f"not a sort order: {c}")
+        out.append({"source-id": schema.find(name).id, "transform": "identity", "direction": direction, "null-order": nulls})
+    return out
+
+
+def _sorted_by(x: dict, schema: Schema) -> Column:
+    source = schema.by_id(x["source-id"])
+    c = Transform.parse(x["transform"]).column(F.col(f"c{source.id}"), source.type)
+    return getattr(c, f"{x['direction']}_{x['null-order'].replace('-', '_')}")()
+
+
 class SnapshotTable:
     """A handle on a table. ``static`` handles never reload and cannot be written."""
 
@@ -239,10 +287,10 @@ class SnapshotTable:
 
     @classmethod
     def create(
-        cls, spark: SparkSession, name: str, location: str, schema: T.StructType | Schema, partition_by: list[tuple[str, str] | str] | None = None, properties: dict[str, str] | None = None, sort_order: list[str] | None = None
+        cls, spark: SparkSession, name: str, location: str, schema: T.StructType | Schema, partition_by: list[tuple[str, str] | str] | None = None, properties: dict[str, str] | None = None, sort_order: list[str | tuple[str, ...]] | None = None
     ) -> SnapshotTable:
         own = schema if isinstance(schema, Schema) else Schema.from_spark(schema)
-        order = [{"source-id": own.find(c).id, "transform": "identity", "direction": "asc", "null-order": "nulls-first"} for c in sort_order or []]
+        order = _sort_fields(own, sort_order or [])
         meta = TableMetadata.new(resolve(location), own, PartitionSpec.build(own, partition_by or []), properties, order)
         path = f"{resolve(location).rstrip('/')}/metadata/v1.metadata.json"
         try:
@@ -258,7 +306,8 @@ class SnapshotTable:
         path = latest_metadata(_io(spark), resolve(location))
         if path is None:
             raise TableError(f"no table metadata at {location}")
-        return cls(spark, name, TableMetadata.parse(_io(spark).read(path)), path)
+        # the pointer to {n}-{uuid} files is kept elsewhere, and commits have to go there
+        return cls(spark, name, TableMetadata.parse(_io(spark).read(path)), path, static=not path.rpartition("/")[2].startswith("v"))
 
     @classmethod
     def open_static(cls, spark: SparkSession, name: str, metadata_path: str, snapshot_id: int | None = None) -> SnapshotTable:
@@ -285,6 +334,14 @@ class SnapshotTable:
         self.refresh()
         return self.scan().at(snapshot_id if snapshot_id is not None else self.snapshot_id).to_df()
 
+    def listed(self, snapshot: dict | None) -> list[Manifest]:
+        """The manifests of a snapshot; the oldest format may name them in the metadata itself."""
+        if snapshot is None:
+            return []
+        if "manifest-list" not in snapshot:
+            raise TableError(f"snapshot {snapshot['snapshot-id']} of {self.name} has no manifest list")
+        return _listed(self.io, snapshot["manifest-list"], self.metadata)
+
     def snapshots(self) -> DataFrame:
         rows = [
             Row(
@@ -296,14 +353,12 @@ class SnapshotTable:
         return self.spark.createDataFrame(rows, SNAPSHOTS_SCHEMA)
 
     def manifests(self) -> DataFrame:
-        snapshot = self.refresh().metadata.current_snapshot
         rows = []
-        for x in _lines(self.io, snapshot["manifest-list"]) if snapshot else ():
-            m = Manifest.from_json(x)
+        for m in self.listed(self.refresh().metadata.current_snapshot):
             data = m.content == DATA
             text = lambda v: None if v is None else str(v)
             summaries = [(s["contains_null"], s.get("contains_nan"), text(s["lower"]), text(s["upper"])) for s in m.summaries.values()]
-            rows.append((0 if data else 1, m.path, m.length, m.spec_id, m.snapshot_id, m.added_files * data, 0, 0, m.added_files * (not data), 0, 0, summaries))
+            rows.append((0 if data else 1, m.path, m.length, m.spec_id, m.snapshot_id, *(n * of for of in (data, not data) for n in (m.added_files, m.existing_files, m.deleted_files)), summaries))
         return self.spark.createDataFrame(rows, MANIFESTS_SCHEMA)
 
     # -- writing
@@ -320,7 +375,9 @@ class SnapshotTable:
     def delete_positions(self, positions: DataFrame) -> int:
         """Mark rows (file_path, pos) as deleted."""
         self._writable()
-        rows = positions.select(_plain_path(F.col("file_path")).alias("file_path"), F.col("pos").cast("long").alias("pos"))
+        rows = positions.select(
+            *[c.alias(n, metadata={"parquet.field.id": i}) for c, n, i in ((_plain_path(F.col("file_path")), "file_path", PATH_ID), (F.col("pos").cast("long"), "pos", POSITION_ID))]
+        )
         return self._write_deletes(rows, POSITION_DELETES, ())
 
     def delete_where(self, condition: Column) -> int:
@@ -354,13 +411,9 @@ class SnapshotTable:
         if not counts:
             self.io.delete(folder)
             return 0
-        spec = self._unpartitioned()
-        self._commit_files([DataFile(p, content, n, self.io.size(p), spec, equality_ids=ids, schema_id=self.metadata.schema.schema_id) for p, n in sorted(counts.items())], "delete")
+        self._commit_files([DataFile(p, content, n, self.io.size(p), EVERYWHERE, equality_ids=ids, schema_id=self.metadata.schema.schema_id) for p, n in sorted(counts.items())], "delete")
         return sum(counts.values())
 
-    def _unpartitioned(self) -> int:
-        return self.metadata.raw["default-spec-id"]
-
     def _write(self, df: DataFrame) -> list[DataFile]:
         """Write the rows under the table's location; the files with their statistics."""
         if (kind := self.metadata.properties.get("write.format.default", "parquet")) != "parquet":
@@ -384,7 +437,7 @@ class SnapshotTable:
             names.append(p.name)
         folder = f"{self.metadata.location}/data/{uuid.uuid4().hex}"
         rows = self._dealt(rows, names)
-        order = [f"c{x['source-id']}" for x in self.metadata.raw.get("sort-orders", [{}])[0].get("fields", [])]
+        order = [_sorted_by(x, schema) for x in self.metadata.sort_fields]
         if names and not self._fanout() or order:
             rows = rows.sortWithinPartitions(*names, *order)
         writer = rows.write.option("maxRecordsPerFile", int(self.metadata.properties.get("write.max-records-per-file", 0)))
@@ -468,25 +521,36 @@ class SnapshotTable:
 
         def change(meta: TableMetadata, raw: dict) -> None:
             parent = meta.current_snapshot
-            known: list[dict] = list(_lines(self.io, parent["manifest-list"])) if parent else []
+            known = self.listed(parent)
             if operation == "append" and raw["properties"].get("commit.check-duplicates", "true") == "true":
-                taken = {x["path"] for m in map(Manifest.from_json, known) if m.sequence > began for x in _lines(self.io, m.path)}
+                taken = {f.path for m in known if m.sequence > began for f in _files(self.io, m, meta)}
                 if both := taken & {f.path for f in files}:
                     raise TableError(f"files are in the table already: {sorted(both)[:3]}")
-            if any(f.spec_id not in meta.specs for f in files):
+            if raw["format-version"] < 2:
+                raise TableError(f"table {self.name} is of format version 1; upgrade_format(2) makes it writable")
+            specs = dict(meta.specs)
+            if any(f.spec_id == EVERYWHERE for f in files):
+                plain = next((s for s in specs.values() if not s.fields), None)
+                if plain is None:
+                    plain = specs[max(specs) + 1] = PartitionSpec(max(specs) + 1)
+                    raw["partition-specs"].append(plain.to_json())
+            if any(f.spec_id not in specs for f in files if f.spec_id != EVERYWHERE):
                 raise TableError("files of an unknown partition spec")
+            grown = TableMetadata(raw)
             sequence = raw.get("last-sequence-number", 0) + 1
+            placed = [replace(f, sequence=sequence, spec_id=plain.spec_id if f.spec_id == EVERYWHERE else f.spec_id) for f in files]
             entries = []
             attempt = uuid.uuid4().hex[:8]
-            for spec_id in sorted({f.spec_id for f in files}):
-                own = [replace(f, sequence=sequence) for f in files if f.spec_id == spec_id]
-                text = "".join(json.dumps(f.to_json()) + "\n" for f in own)
-                path = f"{base}/metadata/{stamp}-{attempt}-m{spec_id}.json"
-                self.io.create(path, text)
-                content = DATA if own[0].content == DATA else 1
-                entries.append(Manifest(path, len(text.encode()), spec_id, content, snapshot_id, sequence, len(own), summarise(own) if content == DATA else {}).to_json())
-            listing = f"{base}/metadata/snap-{snapshot_id}-{attempt}.json"
-            self.io.create(listing, "".join(json.dumps(x) + "\n" for x in [*entries, *known]))
+            for spec_id in sorted({f.spec_id for f in placed}):
+                own = [f for f in placed if f.spec_id == spec_id]
+                content = manifests.dump_entries(own, specs[spec_id], grown, snapshot_id)
+                path = f"{base}/metadata/{stamp}-{attempt}-m{spec_id}.avro"
+                self.io.create(path, content)
+                kind = DATA if own[0].content == DATA else 1
+                entries.append(Manifest(path, len(content), spec_id, kind, snapshot_id, sequence, len(own), summarise(own), added_rows=sum(f.rows for f in own)))
+            listing = f"{base}/metadata/snap-{snapshot_id}-{attempt}.avro"
+            about = {"snapshot-id": str(snapshot_id), "parent-snapshot-id": str(parent["snapshot-id"]) if parent else "null", "sequence-number": str(sequence), "format-version": "2"}
+            self.io.create(listing, manifests.dump_list([*entries, *known], grown, about))
             before = (parent or {}).get("summary", {})
             rows, size = sum(f.rows for f in files), sum(f.size for f in files)
             add = {"added-data-files": len(files), "added-records": rows, "added-files-size": size} if operation == "append" else {"added-delete-files": len(files), "added-deletes": rows}
@@ -582,11 +646,9 @@ class SnapshotTable:
     def remove_properties(self, *names: str) -> None:
         self.commit(lambda _, raw: [raw["properties"].pop(n, None) for n in names])
 
-    def set_sort_order(self, columns: list[str]) -> None:
-        def apply(meta: TableMetadata, raw: dict) -> None:
-            raw["sort-orders"] = [{"order-id": 0, "fields": [{"source-id": meta.schema.find(c).id, "transform": "identity", "direction": "asc", "null-order": "nulls-first"} for c in columns]}]
-
-        self.commit(apply)
+    def set_sort_order(self, columns: list[str | tuple[str, ...]]) -> None:
+        """Columns, or (column, "asc" or "desc"[, "nulls-first" or "nulls-last"]); nulls come first going up, last going down."""
+        self.commit(lambda meta, raw: raw.update(sort_orders(_sort_fields(meta.schema, columns))))
 
     def set_ref(self, name: str, snapshot_id: int, kind: str = "tag") -> None:
         def apply(meta: TableMetadata, raw: dict) -> None:
@@ -619,12 +681,13 @@ def _utc(ms: int):  # noqa: ANN202
 
 
 def version_of(path: str) -> int:
-    name = path.rpartition("/")[2]
-    return int(name[1:].split(".")[0])
+    """Of v{n}.metadata.json or {n}-{uuid}.metadata.json."""
+    found = re.match(r"v?(\d+)", path.rpartition("/")[2])
+    return int(found[1]) if found else 0
 
 
 def latest_metadata(io: FileIO, location: str) -> str | None:
-    """The metadata file that version-hint.text names or a later one, else the highest v{n}; None if there is none."""
+    """The metadata file that version-hint.text names or a later one, else the highest v{n} or {n}-{uuid}; None if there is none."""
     folder = f"{location.rstrip('/')}/metadata"
     hint = f"{folder}/version-hint.text"
     n = None
@@ -632,10 +695,11 @@ def latest_metadata(io: FileIO, location: str) -> str | None:
         text = io.read(hint).strip()
         n = int(text) if text.isdigit() and io.exists(f"{folder}/v{text}.metadata.json") else None
     if n is None:
-        found = [int(x[1:].split(".")[0]) for x in io.files(folder) if x.endswith(".metadata.json") and x[0] == "v" and x[1:].split(".")[0].isdigit()]
-        n = max(found, default=None)
-    if n is None:
-        return None
+        names = io.files(folder)
+        n = max((int(m[1]) for x in names if (m := re.fullmatch(r"v(\d+)\.metadata\.json", x))), default=None)
+        if n is None:  # as catalogs that keep the pointer themselves name them; the newest here is the best guess
+            last = max(((int(m[1]), x) for x in names if (m := re.fullmatch(r"(\d+)-.*\.metadata\.json", x))), default=None)
+            return f"{folder}/{last[1]}" if last else None
     while io.exists(f"{folder}/v{n + 1}.metadata.json"):  # a commit whose hint is still to come, or was lost
         n += 1
     return f"{folder}/v{n}.metadata.json"
