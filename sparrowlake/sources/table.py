@@ -135,7 +135,7 @@ class TableScan:
         return meta.schemas[snapshot.get("schema-id", meta.schema.schema_id)] if self.snapshot_id is not None and snapshot else meta.schema
 
     def plan(self) -> list[ScanTask]:
-        """Files that may hold matching rows, each with the delete files that apply to it."""
+        """Files that may hold matching rows, each with the delete files that apply to it: later ones of its partition, or of all."""
         snapshot = self.snapshot
         if snapshot is None:
             return []
@@ -152,7 +152,10 @@ class TableScan:
                     deletes.append(f)
                 elif not self.prune or (may_match(implied, f.partition_stats()) and may_match(predicate, f.stats()) and f.rows > 0):
                     data.append(f)
-        return [ScanTask(f, tuple(d for d in deletes if _applies(d, f))) for f in data]
+        placed: dict[tuple | None, list[DataFile]] = {}
+        for d in deletes:
+            placed.setdefault(_place(d) if d.partition else None, []).append(d)
+        return [ScanTask(f, tuple(d for d in placed.get(None, []) + (placed.get(_place(f), []) if f.partition else []) if _follows(d, f))) for f in data]
 
     def to_df(self) -> DataFrame:
         spark, schema = self.table.spark, self.schema
@@ -243,11 +246,13 @@ def _implied(p: Predicate, spec: PartitionSpec) -> Predicate:
     return out
 
 
-def _applies(delete: DataFile, data: DataFile) -> bool:
-    """Positional deletes reach their own commit and earlier data, equality deletes earlier data only; both stay in their partition unless global."""
-    if delete.content == POSITION_DELETES:
-        return delete.sequence >= data.sequence and (not delete.partition or (delete.spec_id == data.spec_id and delete.partition == data.partition))
-    return delete.sequence > data.sequence and (not delete.partition or (delete.spec_id == data.spec_id and delete.partition == data.partition))
+def _place(f: DataFile) -> tuple:
+    return (f.spec_id, *sorted(f.partition.items()))
+
+
+def _follows(delete: DataFile, data: DataFile) -> bool:
+    """Positional deletes reach their own commit and earlier data, equality deletes earlier data only."""
+    return delete.sequence >= data.sequence if delete.content == POSITION_DELETES else delete.sequence > data.sequence
 
 
 def _sort_fields(schema: Schema, columns: list[str | tuple[str, ...]]) -> list[dict]:
