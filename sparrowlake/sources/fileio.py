@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import re
 
@@ -38,7 +39,9 @@ class FileIO:
         return "://" not in path
 
     def read(self, path: str) -> str:
-        return self.read_bytes(path).decode()
+        """A text, which may be packed."""
+        data = self.read_bytes(path)
+        return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
 
     def read_bytes(self, path: str) -> bytes:
         path = resolve(path)

@@ -311,8 +311,7 @@ class SnapshotTable:
         path = latest_metadata(_io(spark), resolve(location))
         if path is None:
             raise TableError(f"no table metadata at {location}")
-        # the pointer to {n}-{uuid} files is kept elsewhere, and commits have to go there
-        return cls(spark, name, TableMetadata.parse(_io(spark).read(path)), path, static=not path.rpartition("/")[2].startswith("v"))
+        return cls(spark, name, TableMetadata.parse(_io(spark).read(path)), path)
 
     @classmethod
     def open_static(cls, spark: SparkSession, name: str, metadata_path: str, snapshot_id: int | None = None) -> SnapshotTable:
@@ -513,9 +512,9 @@ class SnapshotTable:
     # -- committing
 
     def _writable(self) -> None:
-        if self.static:
+        # the pointer to {n}-{uuid} files is kept elsewhere, and commits have to go there; a packed version would not collide with a plain one
+        if self.static or not re.fullmatch(r"v\d+\.metadata\.json", self.refresh().metadata_path.rpartition("/")[2]):
             raise TableError(f"table {self.name} is read-only")
-        self.refresh()
 
     def _commit_files(self, files: list[DataFile], operation: str) -> None:
         snapshot_id = self.metadata.new_snapshot_id()
@@ -691,23 +690,28 @@ def version_of(path: str) -> int:
     return int(found[1]) if found else 0
 
 
+def _version_file(io: FileIO, folder: str, n: int | str) -> str | None:
+    return next((path for path in (f"{folder}/v{n}.metadata.json", f"{folder}/v{n}.gz.metadata.json") if io.exists(path)), None)
+
+
 def latest_metadata(io: FileIO, location: str) -> str | None:
-    """The metadata file that version-hint.text names or a later one, else the highest v{n} or {n}-{uuid}; None if there is none."""
+    """The metadata file that version-hint.text names or a later one, else the highest v{n} or {n}-{uuid}; None if there is none. All may be packed (.gz)."""
     folder = f"{location.rstrip('/')}/metadata"
     hint = f"{folder}/version-hint.text"
     n = None
     if io.exists(hint):
         text = io.read(hint).strip()
-        n = int(text) if text.isdigit() and io.exists(f"{folder}/v{text}.metadata.json") else None
+        n = int(text) if text.isdigit() and _version_file(io, folder, text) else None
     if n is None:
         names = io.files(folder)
-        n = max((int(m[1]) for x in names if (m := re.fullmatch(r"v(\d+)\.metadata\.json", x))), default=None)
+        n = max((int(m[1]) for x in names if (m := re.fullmatch(r"v(\d+)(?:\.gz)?\.metadata\.json", x))), default=None)
         if n is None:  # as catalogs that keep the pointer themselves name them; the newest here is the best guess
             last = max(((int(m[1]), x) for x in names if (m := re.fullmatch(r"(\d+)-.*\.metadata\.json", x))), default=None)
             return f"{folder}/{last[1]}" if last else None
-    while io.exists(f"{folder}/v{n + 1}.metadata.json"):  # a commit whose hint is still to come, or was lost
+    while _version_file(io, folder, n + 1):  # a commit whose hint is still to come, or was lost
         n += 1
-    return f"{folder}/v{n}.metadata.json"
+    return _version_file(io, folder, n)
+
 
 
 __all__ = ["Any", "CommitFailed", "ScanTask", "SnapshotTable", "TableError", "TableScan", "latest_metadata"]
