@@ -5,23 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Bits that a level of the wavelet matrix tells apart.
+DIGIT = 4
+RADIX = 1 << DIGIT
 _LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
-class Bits:
-    """A bit vector, packed, with counts of ones before each 64-bit word."""
+class Digits:
+    """Digits of ``RADIX`` values as a packed bit vector for each value, and where its next one goes, every 64 bits, when all are sorted by value."""
 
-    def __init__(self, bits: np.ndarray):
-        n = len(bits) // 64 + 1
-        packed = np.zeros(n * 8, dtype=np.uint8)
-        some = np.packbits(bits, bitorder="little")
-        packed[: len(some)] = some
-        self.words = packed.view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))])[:-1].astype(np.int32)
+    def __init__(self, digits: np.ndarray):
+        self.stride = len(digits) // 64 + 1
+        marks = np.zeros((RADIX, self.stride * 64), dtype=bool)
+        marks[digits, np.arange(len(digits))] = True
+        self.words = np.packbits(marks, axis=1, bitorder="little").view(np.uint64).ravel()
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
 
-    def ones(self, i: np.ndarray) -> np.ndarray:
-        """Ones among the first i bits."""
-        at = i >> 6
+    def follow(self, digit: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """All lesser digits and those of this value among the first i."""
+        at = (i >> 6) + digit * self.stride
         return self.before[at] + np.bitwise_count(self.words[at] & _LOW[i & 63])
 
 
@@ -38,15 +40,13 @@ class FMIndex:
         sa = self._sorted(text, depth)
         bwt = text[sa - 1]
         top = int(text.max(initial=0))
-        self.levels: list[Bits] = []
-        self.zeros: list[int] = []
-        self.width = max(1, top.bit_length())
+        self.shifts = range((max(1, top.bit_length()) - 1) // DIGIT * DIGIT, -1, -DIGIT)
+        self.levels: list[Digits] = []
         now = bwt.astype(np.int64)
-        for level in range(self.width):
-            bit = (now >> (self.width - 1 - level)) & 1 == 1
-            self.levels.append(Bits(bit))
-            self.zeros.append(int((~bit).sum()))
-            now = np.concatenate([now[~bit], now[bit]])
+        for shift in self.shifts:
+            digits = (now >> shift & RADIX - 1).astype(np.uint8)
+            self.levels.append(Digits(digits))
+            now = now[np.argsort(digits, kind="stable")]
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         symbols = np.arange(top + 1)
         self.base = self._descend(symbols, np.zeros(top + 1, dtype=np.int64))
@@ -93,10 +93,9 @@ class FMIndex:
         return self.least[np.searchsorted(self.heads(self.depth), rows, "right") - 1]
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Where position i goes when the wavelet matrix is followed down by the symbol's bits."""
-        for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
-            ones = bits.ones(i)
-            i = np.where((symbol >> (self.width - 1 - level)) & 1 == 1, zeros + ones, i - ones)
+        """Where position i goes when the wavelet matrix is followed down by the symbol's digits."""
+        for level, shift in zip(self.levels, self.shifts, strict=True):
+            i = level.follow(symbol >> shift & RADIX - 1, i)
         return i
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,21 +107,24 @@ class FMIndex:
         lo, hi = both[: len(s)] + shift, both[len(s) :] + shift
         return lo, np.where(known, hi, lo)
 
-    def matching_statistics(self, flat: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def matching_statistics(self, flat: np.ndarray, sizes: np.ndarray, most: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the queries (one after another in ``flat``, with their ``sizes``): the length, up to ``most``, of its longest match in the index, and the first row of that match's interval.
 
         Queries go side by side from right to left. A match at ``most`` is widened to its first ``most`` - 1 symbols
         before the next symbol is put in front; a match that cannot be extended loses its last symbols until its
-        interval is a wider one, and so on until it can.
+        interval is a wider one, and so on until it can. As ends of matches only move left, a query whose match ends
+        before its first ``least`` symbols do has no more matches of that length: it is given up, with lengths of 0.
         """
         ends = np.cumsum(sizes)
         found, rows = np.zeros(len(flat), dtype=np.int16), np.zeros(len(flat), dtype=np.int64)
         n = self.size
         lo, hi, size = np.zeros(len(sizes), np.int64), np.full(len(sizes), n, np.int64), np.zeros(len(sizes), np.int64)
         edges = np.append(self.lcp, 0).astype(np.int64)
+        live = np.arange(len(sizes))
         for step in range(int(sizes.max(initial=0))):
-            live = np.flatnonzero(sizes > step)
-            at = ends[live] - 1 - step
+            live = live[sizes[live] > step]
+            if not len(live):
+                break
             full = live[size[live] == most]
             self._shrink(full, np.full(len(full), most - 1), lo, hi, size)
             left = live
@@ -135,6 +137,9 @@ class FMIndex:
                 left = left[~ok]
                 left = left[size[left] > 0]
                 self._shrink(left, np.minimum(np.maximum(edges[lo[left]], edges[hi[left]]), size[left] - 1), lo, hi, size)
+                left = left[size[left] + sizes[left] - step >= least]
+            live = live[size[live] + sizes[live] - step > least]
+            at = ends[live] - 1 - step
             found[at], rows[at] = size[live], lo[live]
         return found, rows
 

@@ -10,9 +10,10 @@ searched for in every index. Consecutive windows whose minimizer stands at the s
    minimizers with more than ``hot`` runs are dealt window by window instead, under the window's own hash.
 3. A shard holds whole minimizers, cut into indexes of a bounded number of words. The first place of each
    minimizer is indexed, and its other segments are streamed against the index by backward search over the wavelet
-   matrix: a window whose matching statistic reaches ``size`` repeats an earlier place. Segments with windows that
-   nothing matched go on to an index of the next places, twice as many of each minimizer, until none is left; of
-   equal windows inside one index the least place is the first. Words are compared as bytes, never by hash.
+   matrix: a window whose matching statistic reaches ``size`` repeats an earlier place; a segment whose match ends too
+   early for any window is given up. Segments with windows that nothing matched go on to an index of the next places,
+   twice as many of each minimizer, until none is left; of equal windows inside one index the least place is the
+   first. Words are compared as bytes, never by hash.
 4. Intervals to remove are a document's repeated runs without its firsts.
 
 Each step is written to the shared folder. No index, segment list or position reaches the driver.
@@ -27,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ from sparrowlake.llm.fm_index import FMIndex
 SIZE, GRAM, RUN, HOT, INDEX_WORDS = 20, 6, 64, 4096, 150_000  # RUN: more than the windows that can share a minimizer's place
 #: Bytes of segments that a task holds to collapse copies.
 HELD = 32_000_000
+#: Segments of one long text that are taken out of numpy at once.
+PARTS = 100_000
 LAST = (1 << 63) - 1
 _BLANK = bytes(32 if chr(i) in " \t\n\x0b\x0c\r" else i for i in range(256))
 
@@ -85,6 +87,26 @@ def _runs(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "v long, key binary, pos long")
 
 
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one range after another."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins and ends (two columns; null is empty) in the values, and the values."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    bounds = np.stack([offsets[:-1], offsets[1:]], axis=1)
+    bounds[column.is_null().to_numpy(zero_copy_only=False)] = 0
+    return bounds, column.values
+
+
+def _of_rows(bounds: np.ndarray, block: textnp.Block) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists of a block's rows, and the row (in the block) of each."""
+    own = bounds[block.row : block.row + block.rows]
+    n = own[:, 1] - own[:, 0]
+    return _spread(own[:, 0], n), np.repeat(np.arange(block.rows), n)
+
+
 def _segments(rows: DataFrame, size: int) -> DataFrame:
     """v, seg (bytes of the run's words), and its first place in this task: id, key, start; rows have hits: array of (v, pos, hot)."""
 
@@ -99,41 +121,48 @@ def _segments(rows: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(seg, pa.binary()), pa.array(own, pa.int64()), pa.array(key, pa.binary()), pa.array(start, pa.int64())], ["v", "seg", "id", "key", "start"])
 
         for batch in batches:
-            ids, keys, hits = batch.column("id").to_numpy(), batch.column("key"), batch.column("hits")
+            ids, keys = batch.column("id").to_numpy().tolist(), batch.column("key").to_pylist()
+            bounds, hits = _lists(batch.column("hits"))
+            names, positions, hots = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("v", "pos", "hot"))
             for block in textnp.blocks(batch.column("text"), seps):
                 data = block.data.tobytes().translate(_BLANK)
-                wide = None
-                for i in range(block.rows):
-                    a, _ = block.words(i)
-                    row = block.row + i
-                    own, key = int(ids[row]), keys[row].as_py()
-                    for hit in hits[row].as_py():
-                        s, n = divmod(hit["pos"], RUN)
-                        n += 1
-                        if hit["hot"]:
-                            wide = textnp.grams(block.hashes(), size) if wide is None else wide
-                            parts = [(int(wide[a + s + j].view(np.int64)), s + j, 1) for j in range(n)]
-                        else:
-                            parts = [(hit["v"], s, n)]
-                        for name, at, m in parts:
-                            seg = data[block.starts[a + at] : block.ends[a + at + m + size - 2]]
-                            before = firsts.get((name, seg))
-                            if before is None:
-                                weight += len(seg) + 100
-                            if before is None or (own, key, at) < before:
-                                firsts[name, seg] = own, key, at
-                    if weight > HELD:
-                        yield collapsed()
-                        firsts.clear()
-                        weight = 0
+                some, row = _of_rows(bounds, block)
+                v, (s, n), hot = names[some], np.divmod(positions[some], RUN), hots[some]
+                a, m = block.first[row] + s, n + 1
+                if hot.any():
+                    own, a, each = np.repeat(row[hot], m[hot]), np.r_[a[~hot], _spread(a[hot], m[hot])], m[~hot]
+                    wide = textnp.grams(block.hashes(), size)[a[len(each) :]].view(np.int64)
+                    v, row, m = np.r_[v[~hot], wide], np.r_[row[~hot], own], np.r_[each, np.ones(len(own), dtype=np.int64)]
+                parts = v, row + block.row, a - block.first[row], block.starts[a], block.ends[a + m + size - 2]
+                for lo in range(0, len(a), PARTS):
+                    for name, i, at, begin, end in zip(*(x[lo : lo + PARTS].tolist() for x in parts), strict=True):
+                        seg, place = data[begin:end], (ids[i], keys[i], at)
+                        before = firsts.get((name, seg))
+                        if before is None:
+                            weight += len(seg) + 100
+                        if before is None or place < before:
+                            firsts[name, seg] = place
+                        if weight > HELD:
+                            yield collapsed()
+                            firsts.clear()
+                            weight = 0
         yield collapsed()
 
     return rows.select("id", "key", "text", "hits").mapInArrow(run, "v long, seg binary, id long, key binary, start long")
 
 
-def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers begin, begin + 1, ... of each range, one range after another."""
-    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+def _joined(block: textnp.Block, words: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some of a block's words, with a space after those where ``blank`` is 1, and where each begins (and the end)."""
+    starts, ends = block.starts[words], block.ends[words]
+    step = np.zeros(len(block.data) + 1, dtype=np.int8)
+    step[starts] = 1
+    step[ends] -= 1  # a word of the next text may begin there
+    room = np.r_[0, np.cumsum(ends - starts + blank)]
+    inside = np.ones(int(room[-1]), dtype=bool)
+    inside[room[1:][blank > 0] - 1] = False
+    out = np.full(len(inside), 32, dtype=np.uint8)
+    out[inside] = block.data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    return out, room
 
 
 def index_firsts(segs: list[bytes], places: list[tuple[int, bytes, int]], v: np.ndarray, size: int) -> list[np.ndarray]:
@@ -141,14 +170,18 @@ def index_firsts(segs: list[bytes], places: list[tuple[int, bytes, int]], v: np.
 
     Segments are sorted by minimizer ``v``, then by place (id, key, start).
     """
-    words = [s.split() for s in segs]
-    lens = np.array([len(w) for w in words], dtype=np.int64)
-    codes = pd.factorize(np.array([w for ws in words for w in ws] or [b""], dtype=object))[0] + 1
+    # parted by a blank, so that a segment's words are its own
+    offsets = np.cumsum([0, *(len(s) + 1 for s in segs)])
+    block = textnp.Block(np.frombuffer(b" ".join([*segs, b""]), dtype=np.uint8), offsets, 0, textnp.separators())
+    lens = np.diff(block.first)
+    text, room = _joined(block, np.arange(len(block.starts)), np.zeros(len(block.starts), dtype=np.int64))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(room) - 1, [None, pa.py_buffer(room), pa.py_buffer(text)])
+    codes = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     begin = np.cumsum(lens) - lens
     order = np.empty(len(segs), dtype=np.int64)
     order[sorted(range(len(segs)), key=places.__getitem__)] = np.arange(len(segs))
     # windows of one document's segments follow each other, so a place is a segment's order, then the offset
-    rank = np.repeat((order << 32) - begin, lens) + np.arange(len(codes) if len(segs) else 0)
+    rank = np.repeat((order << 32) - begin, lens) + np.arange(len(codes))
     n = lens - size + 1
     first, unmet = np.zeros(len(codes), dtype=bool), np.zeros(len(codes), dtype=bool)  # by where a window begins
     unmet[_spread(begin, n)] = True
@@ -168,7 +201,7 @@ def index_firsts(segs: list[bytes], places: list[tuple[int, bytes, int]], v: np.
         del index.least_by_place
         if len(streamed):
             at = _spread(begin[streamed], lens[streamed])
-            lengths, _ = index.matching_statistics(codes[at], lens[streamed], size)
+            lengths, _ = index.matching_statistics(codes[at], lens[streamed], size, size)
             unmet[at[lengths >= size]] = False  # repeats of an indexed place, which is an earlier one
             starts = np.cumsum(lens[streamed]) - lens[streamed]
             streamed = streamed[np.logical_or.reduceat(unmet[at], starts)]
@@ -186,12 +219,16 @@ def _firsts(segments: DataFrame, size: int, index_words: int) -> DataFrame:
 
         def solved() -> pa.RecordBatch:
             masks = index_firsts([x[1] for x in held], [x[2] for x in held], np.array([x[0] for x in held], dtype=np.int64), size)
-            some = [(x[2], m) for x, m in zip(held, masks, strict=True) if m.any()]
-            bits = [int((m.astype(np.uint64) << np.arange(len(m), dtype=np.uint64)).sum().view(np.int64)) for _, m in some]
-            return pa.RecordBatch.from_arrays([pa.array([p[1] for p, _ in some], pa.binary()), pa.array([p[2] for p, _ in some], pa.int64()), pa.array(bits, pa.int64())], ["key", "start", "mask"])
+            n = np.array([len(m) for m in masks])
+            begin = np.cumsum(n) - n
+            bits = np.add.reduceat(np.concatenate(masks).astype(np.uint64) << _spread(np.zeros(len(n), dtype=np.int64), n).astype(np.uint64), begin).view(np.int64)
+            some = np.flatnonzero(bits)
+            places = [held[i][2] for i in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([p[1] for p in places], pa.binary()), pa.array([p[2] for p in places], pa.int64()), pa.array(bits[some])], ["key", "start", "mask"])
 
         for batch in batches:  # sorted by v and place: an index is closed between two minimizers, and of equal segments the first stays
-            for v, seg, own, key, start in zip(*(batch.column(c).to_pylist() for c in ("v", "seg", "id", "key", "start")), strict=True):
+            names, ids, starts = (batch.column(c).to_numpy().tolist() for c in ("v", "id", "start"))
+            for v, seg, own, key, start in zip(names, batch.column("seg").to_pylist(), ids, batch.column("key").to_pylist(), starts, strict=True):
                 if v != last:
                     if words >= index_words:
                         yield solved()
@@ -211,36 +248,46 @@ def _kept(rows: DataFrame, size: int) -> DataFrame:
     """id, n_words, n_removed, text (kept words joined by a space), spans (from, to of removed words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seps = textnp.separators()
+        kind = pa.struct([("from", pa.int64()), ("to", pa.int64())])
         for batch in batches:
-            texts, hits, firsts = (batch.column(c) for c in ("text", "hits", "firsts"))
-            n_words, n_removed, kept, spans = [], [], [], []
-            for i in range(batch.num_rows):
-                words = (texts[i].as_py() or "").encode().split()
-                hit = hits[i].as_py()
-                gone: list[dict] = []
-                if hit:
-                    windows = np.zeros(len(words) - size + 1, dtype=bool)
-                    for x in hit:
-                        s, n = divmod(x["pos"], RUN)
-                        windows[s : s + n + 1] = True
-                    for x in firsts[i].as_py() or ():
-                        bits = np.frombuffer(np.int64(x["mask"]).tobytes(), dtype=np.uint8)
-                        windows[x["start"] + np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = False
-                    at = np.flatnonzero(windows)
-                    step = np.zeros(len(words) + 1, dtype=np.int32)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + size, -1)
-                    covered = np.cumsum(step[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
-                    gone = [{"from": int(a), "to": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                    stay = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                else:
-                    stay = words
-                n_words.append(len(words)), n_removed.append(len(words) - len(stay)), kept.append(b" ".join(stay).decode()), spans.append(gone)
-            kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("own_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], ["id", "n_words", "n_removed", "text", "spans"])
-
-    return rows.select("own_id", "text", "hits", "firsts").mapInArrow(run, "id long, n_words long, n_removed long, text string, spans array<struct<from: long, to: long>>")
+            runs, pos = _lists(batch.column("pos"))
+            pos = pos.to_numpy(zero_copy_only=False)
+            bounds, firsts = _lists(batch.column("firsts"))
+            begins, masks = (firsts.field(c).to_numpy(zero_copy_only=False) for c in ("start", "mask"))
+            for block in textnp.blocks(batch.column("text"), seps):
+                first = block.first
+                windows = np.zeros(len(block.starts), dtype=bool)  # by where a window begins
+                some, row = _of_rows(runs, block)
+                s, n = np.divmod(pos[some], RUN)
+                windows[_spread(first[row] + s, n + 1)] = True
+                some, row = _of_rows(bounds, block)
+                bits = np.unpackbits(masks[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                which, bit = np.nonzero(bits)
+                windows[(first[row] + begins[some])[which] + bit] = False
+                at = np.flatnonzero(windows)
+                step = np.zeros(len(windows) + 1, dtype=np.int32)
+                step[at] += 1
+                step[at + size] -= 1
+                covered = np.cumsum(step[:-1]) > 0
+                head = np.zeros(len(windows) + 1, dtype=bool)  # a text begins here
+                head[first] = True
+                begin = np.flatnonzero(covered & (head[:-1] | ~np.r_[False, covered[:-1]]))
+                end = np.flatnonzero(covered & (head[1:] | ~np.r_[covered[1:], False])) + 1
+                spans = np.searchsorted(begin, first)
+                own = np.repeat(first[:-1], np.diff(spans))
+                gone = pa.StructArray.from_arrays([pa.array(begin - own), pa.array(end - own)], fields=list(kind))
+                stay = np.flatnonzero(~covered)
+                kept = np.searchsorted(stay, first)
+                blank = np.ones(len(stay), dtype=np.int64)
+                blank[kept[1:][np.diff(kept) > 0] - 1] = 0  # none after a text's last word
+                out, room = _joined(block, stay, blank)
+                text = pa.StringArray.from_buffers(block.rows, pa.py_buffer(room[kept].astype(np.int32)), pa.py_buffer(out))
+                n_words = np.diff(first)
+                arrays = [batch.column("own_id").slice(block.row, block.rows), pa.array(n_words), pa.array(n_words - np.diff(kept)), text, pa.ListArray.from_arrays(spans.astype(np.int32), gone)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_removed", "text", "spans"])
+
+    return rows.select("own_id", "text", "pos", "firsts").mapInArrow(run, "id long, n_words long, n_removed long, text string, spans array<struct<from: long, to: long>>")
 
 
 def _repeated(rows: DataFrame, size: int, hot: int) -> DataFrame:
@@ -264,5 +311,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hits = _repeated(rows, size, hot)
         firsts = written(_firsts(_segments(rows.join(hits, "key"), size), size, index_words), "substring-firsts")
     firsts = firsts.groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("firsts"))
-    out = _kept(rows.join(hits, "key", "left").join(firsts, "key", "left"), size)
+    out = _kept(rows.join(hits.select("key", F.col("hits.pos").alias("pos")), "key", "left").join(firsts, "key", "left"), size)
     return out.withColumnRenamed("id", id_col)

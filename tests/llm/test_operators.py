@@ -210,6 +210,45 @@ def test_firsts_follow_the_matching_statistics(monkeypatch):
     assert sum(m.sum() for m in index_firsts(segs, places, one, 4)) > sum(map(sum, want))
 
 
+def test_search_stops_where_no_window_can_match(monkeypatch):
+    """Segments that differ in a late word are left after it: they were followed down to their first word."""
+    steps = []
+    extend = FMIndex.extend
+    monkeypatch.setattr(FMIndex, "extend", lambda self, symbol, lo, hi: steps.append(len(symbol)) or extend(self, symbol, lo, hi))
+    same = [f"s{i}" for i in range(22)]
+    segs = [" ".join([*same, f"end{i}", "tail"]).encode() for i in range(100)]
+    masks = index_firsts(segs, [(i, b"", 0) for i in range(100)], np.zeros(100, dtype=np.int64), 24)
+    assert all(m.tolist() == [True] for m in masks)
+    assert sum(steps) < 100 * 3 * 8  # up to three words in each of at most eight rounds
+
+    rng = np.random.default_rng(2)
+    whole = np.append(rng.integers(1, 4, 400), 0)
+    index = FMIndex(whole, 6, np.arange(len(whole)))
+    sizes = rng.integers(6, 20, 200)
+    flat = rng.integers(1, 5, int(sizes.sum()))
+    every, some = index.matching_statistics(flat, sizes, 6)[0], index.matching_statistics(flat, sizes, 6, 6)[0]
+    assert 0 < (every == 6).sum() < len(flat) and ((every == 6) == (some == 6)).all() and (some <= every).all()
+
+
+def test_wavelet_levels_of_many_symbols():
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 5000, 3000), 0)
+    index = FMIndex(text, 3, np.arange(len(text)))
+    assert len(index.levels) == 4
+    for at in range(0, 2990, 130):
+        lengths, rows = index.matching_statistics(text[at : at + 3], np.array([3]), 3)
+        assert lengths.tolist() == [3, 2, 1] and index.least_rank(rows[:1])[0] == at
+
+
+def test_substrings_of_neighbouring_copies(spark):
+    """Texts that go whole, one after another, and words parted by all kinds of blanks."""
+    words = [f"é{i}" for i in range(30)]
+    texts = [" ".join(words), "\n\t".join(words), "\r\x0b\x0c".join(words) + " ", "", " own  " + " ".join(words) + "\tends here", " ".join(words)]
+    out = {r.doc_id: r for r in substring_dedup(table(spark, texts).coalesce(1)).collect()}
+    assert [(out[i].n_words, out[i].n_removed, out[i].text) for i in range(6)] == [(30, 0, " ".join(words)), (30, 30, ""), (30, 30, ""), (0, 0, ""), (33, 30, "own ends here"), (30, 30, "")]
+    assert [[(s["from"], s["to"]) for s in out[i].spans] for i in range(6)] == [[], [(0, 30)], [(0, 30)], [], [(1, 31)], [(0, 30)]]
+
+
 # -- 4
 
 
